@@ -44,7 +44,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     five times unless the optimizer spots it, which it does not inside lambdas
     and conditionals.  A one-element transform is a binding the optimizer keeps.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def trim_ws(c: Column) -> Column:

@@ -93,31 +93,46 @@ def read_index(spark, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
 
 
-def search_documents(
+def pick_chunks(
     documents: DataFrame, questions: DataFrame, k: int = TOP_K, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Index the documents and answer questions(question_id, doc_id, question).
+    """Index the documents and rank chunks for questions(question_id, doc_id, question).
 
-    A document that many questions ask about is copied once per salt before it
-    is indexed, and its questions are spread over the copies.
+    One row per question with its picks in rank order.  A document that many
+    questions ask about is copied once per salt before it is indexed, and its
+    questions are spread over the copies.
     """
     hot = hot_keys(questions, "doc_id", hot_rows)
     copies = copy_per_salt(documents.select("doc_id", "text"), hot, "doc_id")
     index = build_index(copies, ("doc_id", SALT))
-    return _rank(index, salt_rows(questions, hot, "doc_id", "question_id"), k)
+    return _pick(index, salt_rows(questions, hot, "doc_id", "question_id"), k)
+
+
+def search_documents(
+    documents: DataFrame, questions: DataFrame, k: int = TOP_K, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """pick_chunks with one row per pick."""
+    return _one_row_per_pick(pick_chunks(documents, questions, k, hot_rows))
 
 
 def search_index(
     index: Index, questions: DataFrame, k: int = TOP_K, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """The same over an index that was built (and written) before."""
+    """search_documents over an index that was built (and written) before."""
     hot = hot_keys(questions, "doc_id", hot_rows)
     copies = Index(*(copy_per_salt(t, hot, "doc_id") for t in (index.chunks, index.postings)))
-    return _rank(copies, salt_rows(questions, hot, "doc_id", "question_id"), k)
+    salted = salt_rows(questions, hot, "doc_id", "question_id")
+    return _one_row_per_pick(_pick(copies, salted, k))
 
 
-def _rank(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    """(doc_id, question_id, question, rank, chunk_index, similarity, n_chunks, text)."""
+def _one_row_per_pick(picked: DataFrame) -> DataFrame:
+    return picked.select(
+        "doc_id", "question_id", "question", "n_chunks", F.explode("picks").alias("_pick")
+    ).select("doc_id", "question_id", "question", "_pick.*", "n_chunks")
+
+
+def _pick(index: Index, questions: DataFrame, k: int) -> DataFrame:
+    """One row per question: doc_id, question_id, question, n_chunks, picks."""
     ask = ("question_id", "doc_id", SALT)
     q = questions.where(~is_blank(F.col("question"))).select(
         *ask, trim_ws(F.col("question")).alias("question")
@@ -176,7 +191,7 @@ def _rank(index: Index, questions: DataFrame, k: int) -> DataFrame:
         k,
     )
     top = scored.select(*ask, "question", found.alias("found"))
-    joined = top.join(index.chunks.hint("merge"), ["doc_id", SALT])
+    joined = top.join(index.chunks.hint("merge"), ["doc_id", SALT]).where(F.size("chunks") > 0)
     # Chunks without a shared term have similarity 0 and fill up in index order.
     spare = F.filter(
         F.transform("chunks", lambda _, i: i),
@@ -186,23 +201,18 @@ def _rank(index: Index, questions: DataFrame, k: int) -> DataFrame:
         "found",
         F.transform(
             F.slice(spare, F.lit(1), F.greatest(F.lit(k) - F.size("found"), F.lit(0))),
-            lambda i: F.struct((-F.lit(0.0)).alias("key"), i.alias("chunk_index")),
+            lambda i: F.struct(F.lit(0.0).alias("key"), i.alias("chunk_index")),
+        ),
+    )
+    picks = F.transform(
+        filled,
+        lambda f, i: F.struct(
+            (i + 1).alias("rank"),
+            f["chunk_index"].alias("chunk_index"),
+            F.abs(f["key"]).alias("similarity"),
+            F.get("chunks", f["chunk_index"]).alias("text"),
         ),
     )
     return joined.select(
-        "doc_id",
-        "question_id",
-        "question",
-        F.size("chunks").alias("n_chunks"),
-        "chunks",
-        F.posexplode_outer(filled).alias("pos", "pick"),
-    ).where(F.col("pos").isNotNull()).select(
-        "doc_id",
-        "question_id",
-        "question",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("pick.chunk_index").alias("chunk_index"),
-        F.abs("pick.key").alias("similarity"),
-        "n_chunks",
-        F.get("chunks", F.col("pick.chunk_index")).alias("text"),
+        "doc_id", "question_id", "question", F.size("chunks").alias("n_chunks"), picks.alias("picks")
     )
