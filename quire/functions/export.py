@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions.text import trim_ws, unit_length
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SLUG_LIMIT = 60
 RULE = 60
 RULE_MIN = 16
@@ -23,7 +28,7 @@ def format_export_date(iso: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(iso), "MMM d, yyyy, hh:mm a"), iso)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decompose(title: pd.Series) -> pd.Series:
     # No built-in decomposes characters; only titles pass through here.
     return title.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))

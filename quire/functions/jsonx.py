@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from quire.functions.text import is_blank, let, trim_ws, WS_CHARS
+from quire.functions.text import WS_CHARS, is_blank, let, trim_ws
+
+# Ship the helper with the UDF: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SUMMARY_STRINGS = (("title", "title"), ("documentType", "document_type"), ("summary", "summary"))
 SUMMARY_ARRAYS = (
@@ -168,6 +174,6 @@ def find_json(raw: str | None) -> str | None:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_json(content: pd.Series) -> pd.Series:
     return content.map(find_json)

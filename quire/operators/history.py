@@ -59,13 +59,13 @@ def read_entries(stored: DataFrame, text: str = "value", *keep: str) -> DataFram
     )
 
 
-def latest_per_id(writes: DataFrame, *keep: str) -> DataFrame:
-    """Last write of each id by ``seq``, with map-side combination."""
-    columns = [c for c in writes.columns if c not in ("id", *keep)]
+def latest_per_id(writes: DataFrame, *order: str) -> DataFrame:
+    """Last write of each id by ``order`` (default seq), with map-side combination."""
+    columns = [c for c in writes.columns if c != "id"]
     return (
-        writes.groupBy(*keep, "id")
-        .agg(F.max_by(F.struct(*columns), "seq").alias("_last"))
-        .select(*keep, "id", "_last.*")
+        writes.groupBy("id")
+        .agg(F.max_by(F.struct(*columns), F.struct(*(order or ("seq",)))).alias("_last"))
+        .select("id", "_last.*")
     )
 
 
@@ -89,12 +89,12 @@ def save_entries(existing: DataFrame, new: DataFrame) -> DataFrame:
     front before the list is cut.
     """
     writes = existing.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-    latest = latest_per_id(writes)
-    # Rank of (_new, seq): the newest write of all carries the largest value.
-    last = new.agg(F.max("seq").alias("_last_seq"))
-    marked = latest.join(
-        F.broadcast(last.withColumn("_new", F.lit(True))), "_new", "left"
-    ).withColumn("_front", F.coalesce(F.col("seq") == F.col("_last_seq"), F.lit(False)))
+    last = new.agg(F.max("seq").alias("_last_seq")).withColumn("_new", F.lit(True))
+    marked = (
+        latest_per_id(writes, "_new", "seq")
+        .join(F.broadcast(last), "_new", "left")  # one row
+        .withColumn("_front", F.coalesce(F.col("seq") == F.col("_last_seq"), F.lit(False)))
+    )
     return cap_entries(marked, F.col("_front")).drop("_new", "_front", "_last_seq")
 
 

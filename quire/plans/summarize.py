@@ -16,6 +16,7 @@ from quire.functions.prompts import (
     section_prompt,
 )
 from quire.functions.split import summary_chunks
+from quire.functions.text import is_blank
 from quire.operators.completions import (
     BAD_SHAPE,
     EMPTY,
@@ -74,7 +75,7 @@ def map_requests(documents: DataFrame) -> DataFrame:
     length = known_length(F.col("length"))
     part = F.col("chunk_index") + 1
     return document_chunks(documents).select(
-        F.concat_ws(":", F.col("doc_id"), F.when(single, "direct").otherwise("section"), part).alias("request_id"),
+        F.concat_ws(":", F.col("doc_id"), length, F.when(single, "direct").otherwise("section"), part).alias("request_id"),
         "doc_id",
         length.alias("length"),
         "chunk_index",
@@ -89,8 +90,6 @@ def map_requests(documents: DataFrame) -> DataFrame:
 
 def empty_documents(documents: DataFrame) -> DataFrame:
     """Documents without text: the outcome rows of the first round."""
-    from quire.functions.text import is_blank
-
     outcome = Outcome().fail(F.lit(True), UPSTREAM, FAILED, MESSAGE_NOTHING_TO_SUMMARIZE)
     return documents.where(is_blank(F.col("text"))).select("doc_id").withColumns(outcome.columns())
 
@@ -127,7 +126,7 @@ def section_notes(sections: DataFrame) -> DataFrame:
 def final_requests(sections: DataFrame) -> DataFrame:
     """Second round: one request per document whose sections all came back."""
     return section_notes(sections).where(F.col("section_error").isNull()).select(
-        F.concat_ws(":", F.col("doc_id"), F.lit("final")).alias("request_id"),
+        F.concat_ws(":", F.col("doc_id"), "length", F.lit("final")).alias("request_id"),
         "doc_id",
         "length",
         "n_sections",
