@@ -65,18 +65,23 @@ def _joined(unit: str) -> str:
     return rf"{_START}{unit}++(?:['’-]{unit}++)*+{_TAIL}{_END}"
 
 
-_WORD_LIKE = _joined(rf"[\p{{L}}\p{{N}}{_M}]")
-_ALPHABETIC = _joined(rf"[\p{{L}}{_M}]")
-_LEXICAL = rf"{_START}[\p{{L}}{_M}]++{_END}"
-# Dotted capital I lower-cases to i plus a dot, so it counts as a vowel.
-_VOWEL = "aeiouAEIOUİ"
+# In the skeleton every run of letters is one a.
+_SKELETON_OF = (r"\p{L}++", "a")
+_WORD_LIKE = _joined(rf"[a\p{{N}}{_M}]")
+_ALPHABETIC = _joined(f"[a{_M}]")
+_LEXICAL = f"{_START}[a{_M}]++{_END}"
+# Dotted capital I lower-cases to i plus a dot, so it is replaced by i before.
+# (A class of ASCII only is a bit set in Java; one more letter makes it a union
+# that runs several times slower.)
+_DOTTED_I = ("\u0130", "i")
+_VOWEL = "aeiouAEIOU"
 _CONSONANT = f"[^{_VOWEL} ]"
 _ODD_WORD = (
-    rf"{_START}(?=[\p{{L}}{_M}]{{4,}}+{_END})"
-    rf"(?:{_CONSONANT}{{4}}|[^ ]*?{_CONSONANT}{{5}})[^ ]*+"
+    rf"{_START}(?=(?:{_CONSONANT}{{4}}|(?:{_CONSONANT}{{0,4}}+[{_VOWEL}])*+{_CONSONANT}{{5}}))"
+    rf"[\p{{L}}{_M}]{{4,}}+{_END}"
 )
 _SINGLE = rf"{_START}[^ ]{_END}"
-_LONG = rf"[^ ]{{{LONG_TOKEN + 1},}}+"
+_LONG = rf"{_START}[^ ]{{{LONG_TOKEN + 1},}}+"
 _SYMBOLS = r"[{}\[\]();]|=>|::"
 # Java's \b is a Unicode word boundary; the rule wants an ASCII one.
 _KEYWORD = rf"(?<![A-Za-z0-9_])(?i:{'|'.join(KEYWORDS)})(?![A-Za-z0-9_])"
@@ -105,11 +110,6 @@ def _hits(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("bigint")
 
 
-def technical_ratio(view: Column) -> Column:
-    matches = _hits(view, _SYMBOLS) + _hits(view, _KEYWORD) + _hits(view, _CALL)
-    return F.least(matches / F.lit(float(TECHNICAL_FULL)), F.lit(1.0))
-
-
 def repeated_token_count(words: Column) -> Column:
     """Tokens whose lower-cased form occurs more than once.
 
@@ -126,29 +126,36 @@ def repeated_token_count(words: Column) -> Column:
 
 
 def with_quality_counts(df: DataFrame, text: str) -> DataFrame:
-    """Raw counts; each later ratio is a division of two of them."""
+    """Raw counts; each later ratio is a division of two of them.
+
+    What does not depend on which letters a word has is counted in a skeleton a
+    third as long as the text.
+    """
     df = df.withColumn("_flat", collapse_ws(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_view", unit_view(F.col("_flat")))
-    v = F.col("_view")
-    alnum = F.regexp_replace(v, r"[^\p{L}\p{N}]+", "")
+    df = df.withColumn("_bones", F.regexp_replace("_view", *_SKELETON_OF))
+    v, bones = F.col("_view"), F.col("_bones")
+    other = F.length(F.replace(bones, F.lit("a"), F.lit("")))
+    letters = (F.length(v) - other).cast("bigint")
+    technical = _hits(bones, _SYMBOLS) + _hits(v, _KEYWORD) + _hits(v, _CALL)
     return df.withColumns(
         {
             "_chars": F.length(v).cast("bigint"),
             "_points": F.length("_flat").cast("bigint"),
             "_words": count_spaced_words(v),
-            "_alnum": F.length(alnum).cast("bigint"),
-            "_letters": F.length(F.regexp_replace(v, r"\P{L}+", "")).cast("bigint"),
-            "_unprintable": _hits(v, r"[\x00-\x1F\x7F]"),
-            "_suspicious": _hits(v, r"[^\t\n\r -\x{FFFC}\x{FFFE}-\x{10FFFF}]"),
-            "_vowels": _hits(v, "[aeiouAEIOU]"),
-            "_word_like": _hits(v, _WORD_LIKE),
-            "_alphabetic": _hits(v, _ALPHABETIC),
-            "_lexical": _hits(v, _LEXICAL),
-            "_odd": _hits(v, _ODD_WORD),
+            "_letters": letters,
+            "_digits": _hits(bones, r"\p{N}"),
+            "_unprintable": _hits(bones, r"[\x00-\x1F\x7F]"),
+            "_suspicious": _hits(bones, r"[^\t\n\r -\x{FFFC}\x{FFFE}-\x{10FFFF}]"),
+            "_vowels": (F.length(v) - F.length(F.regexp_replace(v, "[aeiouAEIOU]++", ""))).cast("bigint"),
+            "_word_like": _hits(bones, _WORD_LIKE),
+            "_alphabetic": _hits(bones, _ALPHABETIC),
+            "_lexical": _hits(bones, _LEXICAL),
+            "_odd": _hits(F.replace(v, *map(F.lit, _DOTTED_I)), _ODD_WORD),
             "_single": _hits(v, _SINGLE),
             "_long": _hits(v, _LONG),
             "_repeated": repeated_token_count(F.split(F.lower("_flat"), " ")),
-            "_technical": technical_ratio(v),
+            "_technical": F.least(technical / F.lit(float(TECHNICAL_FULL)), F.lit(1.0)),
         }
     )
 
@@ -224,7 +231,7 @@ def with_quality(df: DataFrame, text: str = "text", reasons: bool = True) -> Dat
     ratios = {
         "character_count": chars,
         "word_count": words,
-        "alphanumeric_ratio": safe_ratio(c("_alnum"), chars),
+        "alphanumeric_ratio": safe_ratio(c("_letters") + c("_digits"), chars),
         "printable_ratio": safe_ratio(c("_points") - c("_unprintable"), chars),
         "suspicious_character_ratio": safe_ratio(c("_suspicious"), chars),
         "average_word_length": safe_ratio(chars - (words - 1), words),

@@ -29,7 +29,14 @@ _NOT_WS = (
     r"\x00-\x08\x0E-\x1F\x21-\x9F\xA1-\u167F\u1681-\u1FFF\u200B-\u2027"
     r"\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\uFEFE\uFF00-\x{10FFFF}"
 )
-WS_RUN = f"[^{_NOT_WS}]+"
+WS_CHAR = f"[^{_NOT_WS}]"
+INLINE_WS_CHAR = rf"[^\n{_NOT_WS}]"
+# Printable ASCII is refuted by one range test before the long class is tried.
+NOT_PRINTABLE = "(?![!-~])"
+# Only the runs that are not one plain space: most words need no replacement.
+_WS_TO_COLLAPSE = (
+    f"(?: {NOT_PRINTABLE}(?={WS_CHAR})|{NOT_PRINTABLE}[^ {_NOT_WS}]){WS_CHAR}*+"
+)
 
 # A code point outside the basic plane takes two UTF-16 units.  The view puts
 # this noncharacter after each of them, so length(view) counts units.
@@ -57,7 +64,7 @@ def is_blank(c: Column) -> Column:
 
 def collapse_ws(c: Column) -> Column:
     """Whitespace runs to one space, ends trimmed."""
-    return F.btrim(F.regexp_replace(c, WS_RUN, " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(c, _WS_TO_COLLAPSE, " "), F.lit(" "))
 
 
 def has_astral(c: Column) -> Column:

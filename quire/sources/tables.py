@@ -11,6 +11,18 @@ RESPONSE_SCHEMA = "request_id string, attempt int, status int, body string"
 PAGE_SCHEMA = "doc_id bigint, page_number int, text string"
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a bare scan at least one partition per core.
+
+    Only a table of a few row groups is shuffled; one with more splits than
+    cores is returned as it is, so large inputs never pay for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
 def scan_uploads(spark: SparkSession, path: str, mime_types: DataFrame | None = None) -> DataFrame:
     """Files under a path; only metadata is read unless content is selected.
 

@@ -48,7 +48,7 @@ def r6(name: str) -> Column:
 
 @query
 def doc_word_stats(v: Views) -> DataFrame:
-    return v.documents().select(
+    return v.texts().select(
         "doc_id",
         count_words(F.col("text")).alias("word_count"),
         unit_length(F.col("text")).alias("character_count"),
@@ -57,7 +57,7 @@ def doc_word_stats(v: Views) -> DataFrame:
 
 @query
 def quality_char_ratios(v: Views) -> DataFrame:
-    return with_quality(v.documents(), reasons=False).select(
+    return with_quality(v.texts(), reasons=False).select(
         "doc_id", "character_count", r6("alphanumeric_ratio"), r6("printable_ratio"),
         r6("suspicious_character_ratio"), r6("vowel_ratio"),
     )
@@ -65,7 +65,7 @@ def quality_char_ratios(v: Views) -> DataFrame:
 
 @query
 def quality_word_ratios(v: Views) -> DataFrame:
-    return with_quality(v.documents(), reasons=False).select(
+    return with_quality(v.texts(), reasons=False).select(
         "doc_id", "word_count", r6("average_word_length"), r6("word_like_ratio"),
         r6("single_character_token_ratio"), r6("single_character_ratio"), r6("long_token_ratio"),
         r6("suspicious_word_ratio"), r6("alphabetic_word_ratio"),
@@ -74,24 +74,24 @@ def quality_word_ratios(v: Views) -> DataFrame:
 
 @query
 def quality_technical(v: Views) -> DataFrame:
-    return with_quality(v.documents(), reasons=False).select("doc_id", r6("technical_structure_ratio"))
+    return with_quality(v.texts(), reasons=False).select("doc_id", r6("technical_structure_ratio"))
 
 
 @query
 def quality_repeated(v: Views) -> DataFrame:
-    return with_quality(v.documents(), reasons=False).select("doc_id", r6("repeated_token_ratio"))
+    return with_quality(v.texts(), reasons=False).select("doc_id", r6("repeated_token_ratio"))
 
 
 @query
 def quality_score(v: Views) -> DataFrame:
-    return with_quality(v.documents(), reasons=False).select(
+    return with_quality(v.texts(), reasons=False).select(
         "doc_id", r6("quality_score"), "is_empty", "is_suspicious"
     )
 
 
 @query
 def quality_reasons(v: Views) -> DataFrame:
-    return with_quality(v.documents()).select("doc_id", joined("reasons").alias("reasons"))
+    return with_quality(v.texts()).select("doc_id", joined("reasons").alias("reasons"))
 
 
 @query
@@ -137,7 +137,7 @@ def retrieval_chunks(v: Views) -> DataFrame:
 
 @query
 def question_sample(v: Views) -> DataFrame:
-    return v.documents().select("doc_id", document_sample(F.col("text")).alias("sample"))
+    return v.texts().select("doc_id", document_sample(F.col("text")).alias("sample"))
 
 
 # --- retrieval --------------------------------------------------------------
@@ -251,13 +251,13 @@ def failed_sections(v: Views) -> DataFrame:
 @query
 def summary_inputs(v: Views) -> DataFrame:
     """Documents a summary or a question cannot be asked of."""
-    short = ask.check_documents(v.documents()).where("not success").drop("text")
-    return short.unionByName(summarize.empty_documents(v.documents()))
+    short = ask.check_documents(v.texts()).where("not success").drop("text")
+    return short.unionByName(summarize.empty_documents(v.texts()))
 
 
 @query
 def question_requests(v: Views) -> DataFrame:
-    return ask.question_requests(v.documents())
+    return ask.question_requests(v.texts())
 
 
 @query
@@ -267,7 +267,7 @@ def answer_requests(v: Views) -> DataFrame:
 
 @query
 def completion_bodies(v: Views) -> DataFrame:
-    done = completions.with_request_body(ask.question_requests(v.documents()), MODEL)
+    done = completions.with_request_body(ask.question_requests(v.texts()), MODEL)
     return done.select(
         "request_id",
         F.get_json_object("body", "$.model").alias("model"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.jsonx import SUMMARY_ARRAYS, SUMMARY_STRINGS
+from quire.sources.tables import spread
 
 PAGE_CHARS = 1_800
 LONG_COPIES = 8
@@ -18,9 +19,17 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def corpus(self) -> DataFrame:
+        """documents for jobs that work on text before any shuffle."""
+        return spread(self.table("documents"), "doc_id")
+
     def documents(self) -> DataFrame:
+        """(doc_id, text) for jobs that shuffle by document themselves."""
         return self.table("documents").select("doc_id", "text")
 
+    def texts(self) -> DataFrame:
+        return self.corpus().select("doc_id", "text")
+
     def paragraph_documents(self) -> DataFrame:
         """Blank lines between the lines of English documents."""
         text = F.when(
@@ -32,7 +41,7 @@ class Views:
         """Each document several times over with blank lines; length from its source."""
         text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
         length = F.when(F.col("lang") == "en", "long").when(F.col("lang") == "fr", "short").otherwise("any")
-        return self.table("documents").select(
+        return self.corpus().select(
             "doc_id",
             F.repeat(F.concat(text, F.lit(" ")), F.lit(LONG_COPIES)).alias("text"),
             length.alias("length"),
@@ -42,14 +51,14 @@ class Views:
         """Words of English documents broken by hyphens at line ends, odd spacing elsewhere."""
         broken = F.regexp_replace("text", "([a-z]{4})([a-z]{3})", "$1-\n$2")
         spaced = F.concat(F.lit("\r\n \t"), F.regexp_replace("text", "[,] ", " ,\t \r\n  "))
-        return self.table("documents").select(
+        return self.corpus().select(
             "doc_id", F.when(F.col("lang") == "en", broken).otherwise(spaced).alias("text")
         )
 
     def pages(self) -> DataFrame:
         """Documents cut into pages of equal length."""
         cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PAGE_CHARS}}}"), F.lit(0))
-        return self.documents().select("doc_id", F.posexplode(cut).alias("_at", "text")).select(
+        return self.texts().select("doc_id", F.posexplode(cut).alias("_at", "text")).select(
             "doc_id", (F.col("_at") + 1).alias("page_number"), "text"
         )
 
@@ -103,7 +112,7 @@ class Views:
         """A summary per document, made of its own sentences and fields."""
         sentences = F.split(F.col("text"), r"\. ")
         empty = F.array().cast("array<string>")
-        return self.table("documents").select(
+        return self.corpus().select(
             "doc_id",
             F.element_at(F.split("text", "\n"), 1).alias("title"),
             F.col("source").alias("document_type"),
@@ -155,7 +164,7 @@ class Views:
 
         Only English documents get a good second attempt.
         """
-        docs = self.table("documents")
+        docs = self.corpus()
         payload = F.to_json(
             F.struct(
                 F.lit("  A title ").alias("title"), F.col("source").alias("documentType"),
@@ -206,7 +215,7 @@ class Views:
             F.lit("stop").alias("finish_reason"),
             F.struct(F.when(F.col("lang") == "es", none).otherwise(payload).alias("content")).alias("message"),
         )
-        return self.table("documents").select(
+        return self.corpus().select(
             F.col("doc_id").cast("string").alias("request_id"),
             F.lit(1).alias("attempt"),
             F.lit(200).alias("status"),
@@ -220,7 +229,7 @@ class Views:
             F.when(F.col("lang") == "es", "length").otherwise("stop").alias("finish_reason"),
             F.struct(content.alias("content")).alias("message"),
         )
-        return self.table("documents").select(
+        return self.corpus().select(
             F.col("doc_id").cast("string").alias("request_id"),
             F.lit(1).alias("attempt"),
             F.when(F.col("lang") == "de", 429).otherwise(200).alias("status"),
@@ -236,7 +245,7 @@ class Views:
             .when(F.col("lang") == "es", F.to_json(F.struct("text", F.lit(" ").alias("question"), F.lit("gigantic").alias("length"))))
             .otherwise(good)
         )
-        return self.table("documents").select("doc_id", body.alias("body"))
+        return self.corpus().select("doc_id", body.alias("body"))
 
 
 def summary_columns() -> dict:
