@@ -102,16 +102,18 @@ def normalized_summary(v: Column) -> Column:
     def text_or(key: str, default: str) -> Column:
         return F.coalesce(F.nullif(trim_ws(string_at(v, f"$.{key}")), F.lit("")), F.lit(default))
 
-    body = F.nullif(trim_ws(string_at(v, "$.summary")), F.lit(""))
-    return F.when(
-        body.isNotNull(),
-        F.struct(
-            text_or("title", UNTITLED).alias("title"),
-            text_or("documentType", UNTYPED).alias("document_type"),
-            body.alias("summary"),
-            *[usable_strings_at(v, f"$.{key}").alias(name) for key, name in SUMMARY_ARRAYS],
-        ),
-    )
+    def build(body: Column) -> Column:
+        return F.when(
+            body != "",
+            F.struct(
+                text_or("title", UNTITLED).alias("title"),
+                text_or("documentType", UNTYPED).alias("document_type"),
+                body.alias("summary"),
+                *[usable_strings_at(v, f"$.{key}").alias(name) for key, name in SUMMARY_ARRAYS],
+            ),
+        )
+
+    return let(trim_ws(string_at(v, "$.summary")), build)
 
 
 def clean_questions(v: Column, count: int) -> Column:

@@ -13,15 +13,21 @@ PAYLOAD_KEY = "d"
 
 def to_base64_url(data: Column) -> Column:
     # Also drops the line breaks that chunked base64 would contain.
-    return F.translate(F.base64(data), "+/=\r\n", "-_")
+    text = F.regexp_replace(F.base64(data), "[=\r\n]+", "")
+    return F.replace(F.replace(text, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
 
 
 def from_base64_url(payload: Column) -> Column:
     """Binary, or NULL for text that is not base64."""
-    plain = F.regexp_replace(F.translate(payload, "-_", "+/"), r"[\t\n\f\r ]|={1,2}\z", "")
-    valid = plain.rlike(r"\A[A-Za-z0-9+/]*\z") & (F.length(plain) % 4 != 1)
-    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
-    return F.when(valid, F.try_to_binary(padded, F.lit("base64")))
+
+    def decode(plain: Column) -> Column:
+        bits = F.length(plain) % 4
+        valid = (bits != 1) & ~plain.rlike("[^A-Za-z0-9+/]")
+        padded = F.concat(plain, F.repeat(F.lit("="), (F.lit(4) - bits) % 4))
+        return F.when(valid, F.try_to_binary(padded, F.lit("base64")))
+
+    standard = F.replace(F.replace(payload, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    return let(F.regexp_replace(standard, r"[\t\n\f\r ]|={1,2}\z", ""), decode)
 
 
 def summary_json(s: dict[str, Column]) -> Column:
@@ -38,7 +44,7 @@ def link_payload(fragment: Column) -> Column:
     found = F.regexp_extract(
         fragment, rf"\A#(?:(?!{PAYLOAD_KEY}=)[^&]*&)*{PAYLOAD_KEY}=([^&]*)", 1
     )
-    return F.nullif(F.try_url_decode(found), F.lit(""))
+    return let(F.try_url_decode(found), lambda p: F.when(p != "", p))
 
 
 def parse_share_fragment(fragment: Column) -> Column:

@@ -126,9 +126,12 @@ def search_index(
 
 
 def _one_row_per_pick(picked: DataFrame) -> DataFrame:
-    return picked.select(
-        "doc_id", "question_id", "question", "n_chunks", F.explode("picks").alias("_pick")
-    ).select("doc_id", "question_id", "question", "_pick.*", "n_chunks")
+    rows = picked.select(
+        "doc_id", "question_id", "question", "n_chunks", F.explode_outer("picks").alias("_pick")
+    )
+    return rows.where(F.col("_pick").isNotNull()).select(
+        "doc_id", "question_id", "question", "_pick.*", "n_chunks"
+    )
 
 
 def _pick(index: Index, questions: DataFrame, k: int) -> DataFrame:
@@ -191,7 +194,9 @@ def _pick(index: Index, questions: DataFrame, k: int) -> DataFrame:
         k,
     )
     top = scored.select(*ask, "question", found.alias("found"))
-    joined = top.join(index.chunks.hint("merge"), ["doc_id", SALT]).where(F.size("chunks") > 0)
+    # No filter on the chunk array here: it would move below the shuffle and
+    # cut every text a second time.
+    joined = top.join(index.chunks.hint("merge"), ["doc_id", SALT])
     # Chunks without a shared term have similarity 0 and fill up in index order.
     spare = F.filter(
         F.transform("chunks", lambda _, i: i),
