@@ -42,7 +42,7 @@ def share_link(s: dict[str, Column], origin: Column) -> Column:
 def link_payload(fragment: Column) -> Column:
     """First d parameter of '#...'; NULL when there is none or it is empty."""
     found = F.regexp_extract(
-        fragment, rf"\A#(?:(?!{PAYLOAD_KEY}=)[^&]*&)*{PAYLOAD_KEY}=([^&]*)", 1
+        fragment, rf"\A#(?:(?!{PAYLOAD_KEY}=)[^&]*+&)*+{PAYLOAD_KEY}=([^&]*)", 1
     )
     return let(F.try_url_decode(found), lambda p: F.when(p != "", p))
 

@@ -12,7 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import from_unit_view, let, trim_ws, unit_length, unit_view
+from quire.functions.text import (
+    ASTRAL,
+    UNIT_MARK,
+    from_unit_view,
+    let,
+    trim_ws,
+    unit_length,
+    unit_view,
+)
 
 SUMMARY_LIMIT = 30_000
 SUMMARY_LOOK_BACK = 2_000
@@ -54,28 +62,46 @@ _RETRIEVAL_CUTS = (
 )
 
 
-def _parts(text: Column, limit: int, cuts: str) -> Column:
-    view = let(trim_ws(text), unit_view)
-    return let(
-        view,
-        lambda v: F.when(F.length(v) == 0, F.array().cast("array<string>"))
-        .when(F.length(v) <= limit, F.array(v))
-        .otherwise(F.regexp_extract_all(v, F.lit(cuts), F.lit(0))),
+def _starts(parts: Column) -> Column:
+    """Running offsets of consecutive parts: one more than there are parts."""
+    return F.aggregate(
+        parts,
+        F.array(F.lit(0)),
+        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))),
     )
 
 
+def _parts(text: Column, limit: int, cuts: str) -> Column:
+    def split(v: Column) -> Column:
+        # A counted repeat over characters of different widths recurses in Java
+        # and would overflow the stack, so a text with two-unit characters is
+        # cut in a stand-in without them and sliced at the same places.
+        stand_in = F.regexp_replace(v, f"{ASTRAL}{UNIT_MARK}", UNIT_MARK * 2)
+        sliced = let(
+            F.regexp_extract_all(stand_in, F.lit(cuts), F.lit(0)),
+            lambda parts: let(
+                _starts(parts),
+                lambda at: F.transform(
+                    parts, lambda p, i: F.substring(v, F.get(at, i) + F.lit(1), F.length(p))
+                ),
+            ),
+        )
+        return (
+            F.when(F.length(v) == 0, F.array().cast("array<string>"))
+            .when(F.length(v) <= limit, F.array(v))
+            .when(F.contains(v, F.lit(UNIT_MARK)), sliced)
+            .otherwise(F.regexp_extract_all(v, F.lit(cuts), F.lit(0)))
+        )
+
+    return let(let(trim_ws(text), unit_view), split)
+
+
 def summary_chunks(text: Column) -> Column:
     """array<struct<text, start_character, end_character>>, no overlap."""
 
     def place(parts: Column) -> Column:
-        # A chunk is about 30 000 characters, so the running offsets are few.
-        ends = F.aggregate(
-            parts,
-            F.array(F.lit(0)),
-            lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))),
-        )
         return let(
-            ends,
+            _starts(parts),
             lambda at: F.transform(
                 parts,
                 lambda p, i: F.struct(

@@ -41,7 +41,7 @@ _WS_TO_COLLAPSE = (
 # A code point outside the basic plane takes two UTF-16 units.  The view puts
 # this noncharacter after each of them, so length(view) counts units.
 UNIT_MARK = "\uFDD0"
-_ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,13 +69,13 @@ def collapse_ws(c: Column) -> Column:
 
 def has_astral(c: Column) -> Column:
     # An astral code point has four UTF-8 bytes: pure ASCII skips the regex.
-    return (F.octet_length(c) >= F.length(c) + 3) & c.rlike(_ASTRAL)
+    return (F.octet_length(c) >= F.length(c) + 3) & c.rlike(ASTRAL)
 
 
 def unit_view(c: Column) -> Column:
     """Text whose code-point length equals the UTF-16 length of ``c``."""
     return F.when(
-        has_astral(c), F.regexp_replace(c, f"({_ASTRAL})", f"$1{UNIT_MARK}")
+        has_astral(c), F.regexp_replace(c, f"({ASTRAL})", f"$1{UNIT_MARK}")
     ).otherwise(c)
 
 
@@ -84,7 +84,7 @@ def from_unit_view(c: Column) -> Column:
 
     def restore(v: Column) -> Column:
         whole = F.regexp_replace(v, f"^{UNIT_MARK}", "\uFFFD")
-        whole = F.regexp_replace(whole, f"{_ASTRAL}(?!{UNIT_MARK})", "\uFFFD")
+        whole = F.regexp_replace(whole, f"{ASTRAL}(?!{UNIT_MARK})", "\uFFFD")
         return F.when(
             F.contains(v, F.lit(UNIT_MARK)) | has_astral(v),
             F.regexp_replace(whole, UNIT_MARK, ""),

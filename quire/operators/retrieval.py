@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.split import is_term, raw_tokens, retrieval_chunks
 from quire.functions.text import is_blank, trim_ws
-from quire.session import shuffle_width
 from quire.operators.skew import HOT_ROWS, SALT, copy_per_salt, hot_keys, salt_rows
+from quire.session import materialize, shuffle_width
 
 TOP_K = 4
 DOC = ("doc_id",)
@@ -84,6 +84,12 @@ def build_index(documents: DataFrame, keys: tuple[str, ...] = DOC) -> Index:
     return Index(chunked, weigh_terms(terms, keys))
 
 
+def stored_index(documents: DataFrame) -> Index:
+    """Build once in the shared folder, search many times."""
+    index = build_index(documents)
+    return Index(materialize(index.chunks, "chunks"), materialize(index.postings, "postings"))
+
+
 def write_index(index: Index, path: str) -> None:
     index.chunks.write.mode("errorifexists").parquet(f"{path}/chunks")
     index.postings.write.mode("errorifexists").parquet(f"{path}/postings")

@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.files import file_type_label
+from quire.plans.extract import extract_documents
 from quire.plans.summarize import map_requests
+from quire.session import materialize
+
+
+def extract_once(
+    uploads: DataFrame, pages: DataFrame, ocr_pages: DataFrame, ocr_images: DataFrame
+) -> DataFrame:
+    """Extraction as a stored table, for summaries, questions and the history to share."""
+    return materialize(extract_documents(uploads, pages, ocr_pages, ocr_images), "extracted")
 
 
 def summarize_at_lengths(extracted: DataFrame, lengths: DataFrame) -> DataFrame:

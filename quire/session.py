@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,16 +41,28 @@ def build_session(app_name: str = "quire", master: str | None = None, **extra: s
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for tables that cut lineage.
 
-    Only an unset folder (local tests) falls back to a scratch one.
+    Only where none is set, and only on a local master, is a scratch folder used.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", "") or ""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several jobs read, and read it back.
+
+    The table outlives lost executors, unlike a cache, and its readers do not
+    repeat the work.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -57,7 +57,11 @@ class Views:
 
     def pages(self) -> DataFrame:
         """Documents cut into pages of equal length."""
-        cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PAGE_CHARS}}}"), F.lit(0))
+        n = F.ceil(F.length("text") / PAGE_CHARS).cast("int")
+        cut = F.transform(
+            F.when(n > 0, F.sequence(F.lit(0), n - 1)),
+            lambda i: F.substring(F.col("text"), i * PAGE_CHARS + F.lit(1), F.lit(PAGE_CHARS)),
+        )
         return self.texts().select("doc_id", F.posexplode(cut).alias("_at", "text")).select(
             "doc_id", (F.col("_at") + 1).alias("page_number"), "text"
         )

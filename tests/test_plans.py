@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.completions import run_completions, with_request_body
+from quire.operators.retrieval import search_index, stored_index
 from quire.plans import ask, extract, panel, requests, summarize
 from quire.session import shared_dir
 from quire.sources.tables import export_table, scan_request_bodies, scan_responses, scan_uploads, write_exports, write_export_files, write_requests
@@ -152,9 +154,41 @@ def test_file_sources_and_export_sinks(spark, tmp_path):
     assert md.read_text(encoding="utf-8").startswith("# My Title\n\n- Document Type: Report\n- Summary Length: Short\n- Generated: Jan 5, 2024, 03:04 PM\n")
 
 
+class StubSession:
+    """Just what shared_dir looks at."""
+
+    def __init__(self, configured, master):
+        self.folder = None
+        self.conf = self.sparkContext = self
+        self.master = master
+        self.configured = configured
+
+    def get(self, key, default):
+        return self.configured if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
 def test_shared_folder_is_read_from_the_session(spark):
-    spark.conf.set("spark.checkpoint.dir", "/some/shared/folder")
-    assert shared_dir(spark) == "/some/shared/folder"
-    spark.conf.unset("spark.checkpoint.dir")
-    assert shared_dir(spark).startswith("/tmp/spark-")
-    spark.conf.unset("spark.checkpoint.dir")
+    assert shared_dir(StubSession("/some/shared/folder", "yarn")) == "/some/shared/folder"
+    local = StubSession(None, "local[8]")
+    assert shared_dir(local).startswith("/tmp/spark-") and shared_dir(local) == local.folder
+    with pytest.raises(ValueError):
+        shared_dir(StubSession(None, "yarn"))
+
+
+def test_extraction_is_stored_once_and_searched(spark):
+    uploads = spark.createDataFrame([(1, "a.pdf", "", 5)], "doc_id bigint, file_name string, mime_type string, size_bytes bigint")
+    pages = spark.createDataFrame([(1, 1, LONG_TEXT)], "doc_id bigint, page_number int, text string")
+    nothing = pages.where("false")
+    stored = panel.extract_once(uploads, pages, nothing, nothing.select("doc_id", "text"))
+    assert len(stored.inputFiles()) > 0 and stored.count() == 1
+    lengths = spark.createDataFrame([(1, "short"), (1, "long")], "doc_id bigint, length string")
+    assert {r.request_id for r in panel.summarize_at_lengths(stored, lengths).collect()} == {"1:short:direct:1", "1:long:direct:1"}
+    q = spark.createDataFrame([(1, 1, "payment")], "question_id bigint, doc_id bigint, question string")
+    index = stored_index(stored.select("doc_id", "text"))
+    assert [r.chunk_index for r in search_index(index, q).collect()] == [0]
