@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.files import validate_uploads
-from quire.operators.pages import combine_pages, image_documents, route_pages
+from quire.operators.pages import combine_pages, image_documents
 from quire.plans.outcome import (
     EMPTY,
     INTERNAL,
@@ -18,11 +18,6 @@ from quire.plans.outcome import (
 )
 
 
-def hybrid_documents(pages: DataFrame, ocr_pages: DataFrame) -> DataFrame:
-    """Page tables to one row per PDF: score, route to OCR, assemble."""
-    return combine_pages(route_pages(pages, ocr_pages))
-
-
 def extract_documents(
     uploads: DataFrame, pages: DataFrame, ocr_pages: DataFrame, ocr_images: DataFrame
 ) -> DataFrame:
@@ -32,7 +27,7 @@ def extract_documents(
     anything for is a failed extraction.
     """
     checked = validate_uploads(uploads)
-    pdf = hybrid_documents(pages, ocr_pages).withColumn("source_type", F.lit("pdf"))
+    pdf = combine_pages(pages, ocr_pages).withColumn("source_type", F.lit("pdf"))
     images = image_documents(ocr_images).withColumn("source_type", F.lit("image"))
     text = pdf.unionByName(images)
     joined = checked.withColumnsRenamed(

@@ -452,7 +452,7 @@ SQL: dict[str, str] = {
     "ocr_work_list": f"WITH {_PAGE_CTE} SELECT doc_id, page_number FROM q WHERE is_suspicious",
     "page_routing": f"WITH {_PAGE_CTE} SELECT doc_id, page_number, text, method FROM routed",
     "page_statistics": f"WITH {_PAGE_CTE} SELECT doc_id, count(*) AS page_count, CAST(sum({words('text')}) AS BIGINT) AS total_word_count, round(avg({words('text')}), 6) AS average_words_per_page FROM routed GROUP BY doc_id",
-    "combined_documents": f"WITH {_PAGE_CTE} SELECT doc_id, text, page_count, {_COUNTS}, method FROM combined",
+    "combined_documents": f"WITH {_PAGE_CTE} SELECT doc_id, 0 AS part, text, page_count, {_COUNTS}, method FROM combined",
     "extract_uploads": f"WITH {_EXTRACTED} SELECT * FROM extracted",
     "trimmed_pages": f"WITH pages_cut AS ({PAGES}) SELECT doc_id, page_number, {trim('text')} AS text FROM pages_cut",
     "normalize_lines": f"WITH {normalized(WRAPPED)} SELECT doc_id, text FROM norm_tidy",

@@ -204,7 +204,7 @@ def page_statistics(v: Views) -> DataFrame:
 
 @query
 def combined_documents(v: Views) -> DataFrame:
-    return extract.hybrid_documents(v.pages(), v.ocr_pages()).drop("pages")
+    return pages.combine_pages(v.pages(), v.ocr_pages()).drop("pages")
 
 
 @query

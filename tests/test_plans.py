@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import pages
 from quire.operators.completions import run_completions, with_request_body
 from quire.operators.retrieval import search_index, stored_index
 from quire.plans import ask, extract, panel, requests, summarize
@@ -45,12 +46,12 @@ def test_extraction_outcomes(spark):
         "doc_id bigint, file_name string, mime_type string, size_bytes bigint",
     )
     text = "This page holds a perfectly readable sentence about the quarterly results."
-    pages = spark.createDataFrame(
+    native = spark.createDataFrame(
         [(1, 2, "xq zzrtk bcdfg"), (1, 1, text), (1, 3, "  "), (1, 4, "qq"), (3, 1, ""), (6, 1, text)], "doc_id bigint, page_number int, text string"
     )
     ocr = spark.createDataFrame([(1, 2, "Recog-\nnised page"), (1, 1, "ignored")], "doc_id bigint, page_number int, text string")
     images = spark.createDataFrame([(2, " Image text \n"), (4, "  ")], "doc_id bigint, text string")
-    got = by_id(extract.extract_documents(uploads, pages, ocr, images))
+    got = by_id(extract.extract_documents(uploads, native, ocr, images))
     assert got[1].text == f"-- 1 of 4 --\n{text}\n\n-- 2 of 4 --\nRecognised page"
     assert [(p.page_number, p.method, p.text) for p in got[1].pages] == [(1, "pdf", text), (2, "ocr", "Recognised page"), (3, "ocr", ""), (4, "ocr", "")]
     assert (got[1].page_count, got[1].method, got[1].success, got[1].status) == (4, "ocr", True, 200)
@@ -61,6 +62,17 @@ def test_extraction_outcomes(spark):
     ]
 
 
+def test_a_long_document_comes_in_parts(spark):
+    rows = [(1, n, f"Readable text of page number {n} follows here.") for n in range(1, 24)] + [(2, 1, "Another readable page of text.")]
+    table = spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")
+    whole = by_id(pages.combine_pages(table, table.where("false")))
+    parts = pages.combine_pages(table, table.where("false"), part_pages=5).collect()
+    long = sorted((p for p in parts if p.doc_id == 1), key=lambda p: p.part)
+    assert [p.part for p in long] == [0, 1, 2, 3, 4] and {p.page_count for p in long} == {23}
+    assert "\n\n".join(p.text for p in long) == whole[1].text
+    assert [p.text for p in parts if p.doc_id == 2] == [whole[2].text]
+
+
 def test_summary_map_and_reduce(spark):
     docs = spark.createDataFrame([(1, "short text", "short"), (2, "word. " * 12_000, "other"), (3, "  ", "long")], "doc_id bigint, text string, length string")
     rows = summarize.map_requests(docs).collect()
@@ -183,9 +195,9 @@ def test_shared_folder_is_read_from_the_session(spark):
 
 def test_extraction_is_stored_once_and_searched(spark):
     uploads = spark.createDataFrame([(1, "a.pdf", "", 5)], "doc_id bigint, file_name string, mime_type string, size_bytes bigint")
-    pages = spark.createDataFrame([(1, 1, LONG_TEXT)], "doc_id bigint, page_number int, text string")
-    nothing = pages.where("false")
-    stored = panel.extract_once(uploads, pages, nothing, nothing.select("doc_id", "text"))
+    native = spark.createDataFrame([(1, 1, LONG_TEXT)], "doc_id bigint, page_number int, text string")
+    nothing = native.where("false")
+    stored = panel.extract_once(uploads, native, nothing, nothing.select("doc_id", "text"))
     assert len(stored.inputFiles()) > 0 and stored.count() == 1
     lengths = spark.createDataFrame([(1, "short"), (1, "long")], "doc_id bigint, length string")
     assert {r.request_id for r in panel.summarize_at_lengths(stored, lengths).collect()} == {"1:short:direct:1", "1:long:direct:1"}
