@@ -107,7 +107,7 @@ def count_spaced_words(c: Column) -> Column:
 
 
 def count_words(c: Column) -> Column:
-    return count_spaced_words(collapse_ws(c))
+    return let(collapse_ws(c), count_spaced_words)
 
 
 def safe_ratio(n: Column, d: Column) -> Column:
