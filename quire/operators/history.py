@@ -7,7 +7,7 @@ and no long history is gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.jsonx import checked_summary, string_at, type_at
@@ -73,13 +73,10 @@ def newest_first(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.desc("created_at"), F.desc("seq"), "id")
 
 
-def cap_entries(entries: DataFrame, newest: Column, store: str | None = None) -> DataFrame:
-    """First 100 with ``newest`` in front whatever its date."""
+def cap_entries(entries: DataFrame, newest: Column) -> DataFrame:
+    """First 100 with ``newest`` in front whatever its date: a top-k, no sort."""
     order = [F.desc(newest), F.desc("created_at"), F.desc("seq"), "id"]
-    if store is None:
-        return entries.orderBy(*order).limit(MAX_ENTRIES)
-    ranked = entries.withColumn("_rank", F.row_number().over(Window.partitionBy(store).orderBy(*order)))
-    return ranked.where(F.col("_rank") <= MAX_ENTRIES).drop("_rank")
+    return entries.orderBy(*order).limit(MAX_ENTRIES)
 
 
 def save_entries(existing: DataFrame, new: DataFrame) -> DataFrame:
