@@ -93,18 +93,18 @@ def item_runs(items: DataFrame, window: int, gram: int) -> DataFrame:
 
 def bitmap(runs: DataFrame) -> np.ndarray:
     """The positions of the items' hashes, 2 ** BITMAP_BITS bits packed in bytes."""
-    position = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+    # Spark's bitmaps count positions from 1.
+    position = F.shiftrightunsigned("hash", 64 - BITMAP_BITS) + 1
     blocks = (
         runs.select(position.alias("p"))
         .groupBy(F.bitmap_bucket_number("p").alias("block"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-        .collect()  # 513 rows of 4 kB at most
+        .collect()  # 512 rows of 4 kB at most
     )
     size = 1 << (BLOCK_BITS - 3)
-    out = np.zeros((1 << (BITMAP_BITS - 3)) + size, dtype=np.uint8)
+    out = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
     for block, bits in blocks:
-        # Bucket 0 holds position 0 alone, bucket n the 2 ** 15 positions from there.
-        start = max(0, (block - 1)) * size
+        start = (block - 1) * size
         out[start : start + size] |= np.frombuffer(bits, dtype=np.uint8)
     return out
 
