@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from quire.llm import langid, lm, toxicity
 from quire.llm.decontaminate import decontaminate
 from quire.llm.packing import pack_documents
 from quire.llm.simhash import near_duplicates
@@ -16,14 +17,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(by: int):
+    """crc32 of the id's text, modulo `by`."""
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(4) == 2
+    model = langid.learn(docs.filter(~held_out))
+    return langid.identify(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(3) == 1
+    model = toxicity.learn(docs, labels.filter(~held_out))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(7) == 2
+    counts, model = lm.learn(docs.filter(~held_out))
+    return lm.score_texts(docs, counts, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -37,7 +71,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_decontamination, op5_packing, op7_simhash, op10_warc)
+    own = (
+        op2_language, op3_decontamination, op4_toxicity, op5_packing, op6_language_model,
+        op7_simhash, op10_warc,
+    )
     return {fn.__name__: fn for fn in own}
 
 
