@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from quire.llm import langid, lm, toxicity
 from quire.llm.decontaminate import decontaminate
 from quire.llm.packing import pack_documents
+from quire.llm.pii import personal_data
 from quire.llm.simhash import near_duplicates
+from quire.llm.syncmers import compare_edited
 from quire.llm.warc import archive_round_trip
 
 
@@ -22,6 +24,10 @@ def remainder(by: int):
     return F.crc32(F.col("doc_id").cast("string")) % by
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(4) == 2
@@ -66,14 +72,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op2_language, op3_decontamination, op4_toxicity, op5_packing, op6_language_model,
-        op7_simhash, op10_warc,
+        op1_pii, op2_language, op3_decontamination, op4_toxicity, op5_packing,
+        op6_language_model, op7_simhash, op9_syncmers, op10_warc,
     )
     return {fn.__name__: fn for fn in own}
 
