@@ -4,7 +4,8 @@
 or a `revisit` where another page holds the same payload.  Payloads above a
 segment size go out as a first segment and `continuation` records; all of them
 carry chunked transfer framing.  The files are written by Spark's own text
-writer, so its commit protocol covers lost executors and any file system works.
+writer, gzipped, so its commit protocol covers lost executors and any file system
+works.
 
 `read_archive` reads whole files, takes the records apart by their lengths,
 groups continuations by the identifier of their origin, orders them by segment
@@ -13,6 +14,7 @@ number, compares the total length and decodes the chunked framing.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
@@ -27,6 +29,7 @@ SEGMENT_CHARS = 64 * 1024
 CHUNK_CHARS = 16 * 1024
 FILE_RECORDS = 512
 END = "\r\n"
+GZIP = b"\x1f\x8b"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -167,6 +170,7 @@ def write_archive(
     records = map_rows(with_answers(pages, least), make, "value string")
     (
         records.write.option("lineSep", END + END)
+        .option("compression", "gzip")
         .option("maxRecordsPerFile", FILE_RECORDS)
         .text(path)
     )
@@ -215,6 +219,8 @@ def read_records(spark, path: str) -> DataFrame:
 
     def make(rows: Iterator[tuple]) -> Iterable[tuple]:
         for (content,) in rows:
+            if content[:2] == GZIP:
+                content = gzip.decompress(content)  # also of several members
             for f, block in parse_records(content):
                 yield (
                     f["warc-type"], f["warc-record-id"], f.get("warc-segment-origin-id"),
