@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from quire.llm import langid, lm, toxicity
 from quire.llm.decontaminate import decontaminate
+from quire.llm.linededup import deduplicate_lines
 from quire.llm.packing import pack_documents
 from quire.llm.pii import personal_data
 from quire.llm.simhash import near_duplicates
@@ -72,6 +73,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "text"
+    )
+
+
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
 
@@ -83,7 +90,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_pii, op2_language, op3_decontamination, op4_toxicity, op5_packing,
-        op6_language_model, op7_simhash, op9_syncmers, op10_warc,
+        op6_language_model, op7_simhash, op8_lines, op9_syncmers, op10_warc,
     )
     return {fn.__name__: fn for fn in own}
 
