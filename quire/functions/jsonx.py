@@ -124,9 +124,10 @@ def clean_questions(v: Column, count: int) -> Column:
 
 
 # --- Payload of a model completion ----------------------------------------
-# Models wrap their JSON in prose, fences and reasoning.  Finding the first
-# balanced object that parses needs a scanner, which no built-in offers, so
-# this small helper runs in an Arrow UDF over the completion text only.
+# Models wrap their JSON in prose, fences and reasoning.  What is plain JSON after
+# fences and reasoning are off is parsed by built-ins.  Finding the first balanced
+# object that parses in the rest needs a scanner, which no built-in offers, so that
+# small helper runs in an Arrow UDF over those completions only.
 
 _REASONING = re.compile(r"<think>.*?</think>", re.IGNORECASE | re.DOTALL)
 _FENCE_OPEN = re.compile(r"\A```(?:json)?", re.IGNORECASE)
@@ -138,44 +139,83 @@ def _reject_constant(name: str):
     raise ValueError(name)
 
 
-def _parse(text: str) -> str | None:
+def _is_json(text: str) -> bool:
     try:
-        value = json.loads(text, parse_constant=_reject_constant)
-        return json.dumps(value, ensure_ascii=False, allow_nan=False)
+        json.loads(text, parse_constant=_reject_constant)
+        return True
     except (ValueError, RecursionError):
-        return None
+        return False
 
 
-def _object_end(text: str, start: int) -> int:
-    """Position after the brace that closes text[start]; -1 if none does."""
-    depth, quoted = 0, False
-    for mark in _BRACES.finditer(text, start):
-        sign = mark.group()
+def _objects(text: str):
+    """(start, end) of the balanced object from each opening brace, in order.
+
+    A scan from a brace takes it as outside of strings.  What it sees from there on
+    depends only on whether a global scan has a string open at the brace, so both
+    cases are matched in one pass, each with its own stack of open braces.  A brace
+    behind a backslash can start an object but counts in no other.
+    """
+    found: list[tuple[int, int]] = []
+    stacks: tuple[list[int], list[int]] = ([], [])
+    aside: tuple[list[tuple[int, int]], list[tuple[int, int]]] = ([], [])
+    parity = 0
+    for mark in _BRACES.finditer(text):
+        sign, stack, waiting = mark.group(), stacks[parity], aside[parity]
         if sign == '"':
-            quoted = not quoted
-        elif quoted or sign[0] == "\\":
-            continue
-        else:
-            depth += 1 if sign == "{" else -1
-            if depth == 0:
-                return mark.end()
-    return -1
+            parity ^= 1
+        elif sign == "{":
+            stack.append(mark.start())
+        elif sign == "}":
+            while waiting and waiting[-1][1] == len(stack):
+                found.append((waiting.pop()[0], mark.end()))
+            if stack:
+                found.append((stack.pop(), mark.end()))
+        elif sign == "\\{":
+            waiting.append((mark.start() + 1, len(stack)))
+    return sorted(found)
 
 
 def find_json(raw: str | None) -> str | None:
-    """Canonical JSON of the payload in one completion, or None."""
+    """The payload in one completion as it stands there, or None.
+
+    Half of a surrogate pair, as a token limit may leave it, becomes U+FFFD when
+    the payload's strings are read.
+    """
     text = _REASONING.sub("", raw or "").strip(WS_CHARS)
     text = _FENCE_CLOSE.sub("", _FENCE_OPEN.sub("", text)).strip(WS_CHARS)
-    found = _parse(text)
-    start = text.find("{")
-    while found is None and start != -1:
-        end = _object_end(text, start)
-        if end != -1:
-            found = _parse(text[start:end])
-        start = text.find("{", start + 1)
-    return found
+    if _is_json(text):
+        return text
+    for start, end in _objects(text):
+        if _is_json(text[start:end]):
+            return text[start:end]
+    return None
 
 
 @F.pandas_udf(StringType())
-def extract_json(content: pd.Series) -> pd.Series:
+def _scan_json(content: pd.Series) -> pd.Series:
     return content.map(find_json)
+
+
+# A \u escape of half a surrogate pair that its other half does not follow or precede.
+_HIGH = r"\\u[dD][89abAB][0-9a-fA-F]{2}"
+_LOW = r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+_ESCAPE = r"(?<!\\)((?:\\\\)*+)"
+
+
+def whole_surrogates(c: Column) -> Column:
+    """JSON text with lone surrogate escapes as U+FFFD escapes."""
+    high = F.regexp_replace(c, rf"{_ESCAPE}{_HIGH}(?!{_LOW})", r"$1\\ufffd")
+    return F.regexp_replace(high, rf"{_ESCAPE}(?<!{_HIGH}){_LOW}", r"$1\\ufffd")
+
+
+def extract_json(content: Column | str) -> Column:
+    """JSON text of the payload in a completion, or NULL."""
+    c = F.col(content) if isinstance(content, str) else content
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "(?is)<think>.*?</think>", "")
+    fenced = F.regexp_replace(trim_ws(bare), r"(?i)\A```(?:json)?|```\z", "")
+
+    def pick(text: Column) -> Column:
+        plain = strict_json(text).isNotNull()
+        return F.when(plain, text).otherwise(_scan_json(F.when(~plain, c)))
+
+    return whole_surrogates(pick(trim_ws(fenced)))

@@ -29,7 +29,6 @@ RETRIEVAL_LIMIT = 1_200
 RETRIEVAL_LOOK_BACK = 600
 RETRIEVAL_OVERLAP = 200
 RETRIEVAL_MIN_CHARS = 40
-RETRIEVAL_MAX_CHUNKS = 400
 
 SAMPLE_LIMIT = 6_000
 SAMPLE_GAP = "\n\n[…]\n\n"
@@ -116,8 +115,8 @@ def summary_chunks(text: Column) -> Column:
     return F.filter(chunks, lambda ch: ch["text"] != "")
 
 
-def retrieval_chunks(text: Column) -> Column:
-    """array<string> of overlapping chunks, in index order."""
+def retrieval_chunks(text: Column, most: int | None = None) -> Column:
+    """array<string> of overlapping chunks, in index order; the first ``most`` if given."""
 
     def overlap(parts: Column) -> Column:
         return F.transform(
@@ -135,19 +134,19 @@ def retrieval_chunks(text: Column) -> Column:
     kept = F.filter(
         chunks, lambda ch, i: (i == 0) | (unit_length(ch) > RETRIEVAL_MIN_CHARS)
     )
-    return F.slice(kept, 1, RETRIEVAL_MAX_CHUNKS)
+    return kept if most is None else F.slice(kept, 1, most)
 
 
-def document_sample(text: Column) -> Column:
+def document_sample(text: Column, limit: int = SAMPLE_LIMIT) -> Column:
     """Head, middle and tail of a long document; short ones whole."""
-    quarter = SAMPLE_LIMIT // 4
+    quarter = limit // 4
 
     def sample(view: Column) -> Column:
         n = F.length(view)
         middle = F.floor(n / 2).cast("int") - F.lit(quarter) + F.lit(1)
-        return F.when(n <= SAMPLE_LIMIT, from_unit_view(view)).otherwise(
+        return F.when(n <= limit, from_unit_view(view)).otherwise(
             F.concat(
-                from_unit_view(F.substring(view, 1, SAMPLE_LIMIT // 2)),
+                from_unit_view(F.substring(view, 1, limit // 2)),
                 F.lit(SAMPLE_GAP),
                 from_unit_view(F.substring(view, middle, F.lit(quarter))),
                 F.lit(SAMPLE_GAP),

@@ -15,7 +15,6 @@ from quire.functions.jsonx import extract_json
 from quire.functions.prompts import DEFAULT_TOKENS, system_message
 from quire.functions.text import is_blank
 
-MAX_ATTEMPTS = 2
 TEMPERATURE = 0.2
 BODY_SCHEMA = (
     "choices array<struct<finish_reason:string,message:struct<content:string>>>"
@@ -103,15 +102,20 @@ def parse_payloads(completions: DataFrame) -> DataFrame:
     )
 
 
-def first_good_attempt(attempts: DataFrame, value: str, *keep: str) -> DataFrame:
+def first_good_attempt(
+    attempts: DataFrame, value: str, *keep: str, most: int | None = None
+) -> DataFrame:
     """Per request the first attempt without an error, else the last error.
 
+    All attempts count, or those numbered up to ``most``.
+
     min_by combines map-side, so no request's attempts have to meet in a window.
     """
     ok = F.col("completion_error").isNull()
+    if most is not None:
+        attempts = attempts.where(F.col("attempt") <= most)
     return (
-        attempts.where(F.col("attempt") <= MAX_ATTEMPTS)
-        .groupBy("request_id", *keep)
+        attempts.groupBy("request_id", *keep)
         .agg(
             F.min_by(value, F.when(ok, F.col("attempt"))).alias(value),
             F.min(F.when(ok, F.col("attempt"))).alias("attempt"),

@@ -1,20 +1,18 @@
 """Saved summaries: validate, upsert, delete, list, count.
 
-A history is one list of at most 100 entries.  Everything before the cap is a
-combinable aggregation (latest write per id), the cap is a top-k, so no hot id
-and no long history is gathered in one place.
+Everything before a cap is a combinable aggregation (latest write per id).  A cap
+is an option and holds per owner: a rank within the owner's entries, so histories of
+any number of owners are cut independently and nothing else is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.jsonx import checked_summary, string_at, type_at
 from quire.functions.prompts import LENGTHS
 
-MAX_ENTRIES = 100
-
 
 def checked_entry(v: Column) -> Column:
     """Struct of a valid entry, else NULL.  Nullable fields must be present."""
@@ -73,26 +71,39 @@ def newest_first(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.desc("created_at"), F.desc("seq"), "id")
 
 
-def cap_entries(entries: DataFrame, newest: Column) -> DataFrame:
-    """First 100 with ``newest`` in front whatever its date: a top-k, no sort."""
+def cap_entries(
+    entries: DataFrame, newest: Column, limit: int | None = None, owner: str | None = None
+) -> DataFrame:
+    """The first ``limit`` entries of each ``owner``, ``newest`` in front whatever its
+    date.  Without a limit all stay; without an owner there is one list, a top-k."""
     order = [F.desc(newest), F.desc("created_at"), F.desc("seq"), "id"]
-    return entries.orderBy(*order).limit(MAX_ENTRIES)
+    if limit is None:
+        return entries
+    if owner is None:
+        return entries.orderBy(*order).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(owner).orderBy(*order))
+    return entries.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def save_entries(existing: DataFrame, new: DataFrame) -> DataFrame:
+def save_entries(
+    existing: DataFrame, new: DataFrame, limit: int | None = None, owner: str | None = None
+) -> DataFrame:
     """Upsert by id: existing and new carry ``seq``; new ones are written later.
 
     The last write stays even if its date is the oldest, as when it is put in
     front before the list is cut.
     """
     writes = existing.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-    last = new.agg(F.max("seq").alias("_last_seq")).withColumn("_new", F.lit(True))
+    merged = latest_per_id(writes, "_new", "seq")
+    if limit is None:
+        return merged.drop("_new")
+    by = [owner] if owner else []
+    last = new.groupBy(*by).agg(F.max("seq").alias("_last_seq")).withColumn("_new", F.lit(True))
     marked = (
-        latest_per_id(writes, "_new", "seq")
-        .join(F.broadcast(last), "_new", "left")  # one row
+        merged.join(last, ["_new", *by], "left")  # one row per owner
         .withColumn("_front", F.coalesce(F.col("seq") == F.col("_last_seq"), F.lit(False)))
     )
-    return cap_entries(marked, F.col("_front")).drop("_new", "_front", "_last_seq")
+    return cap_entries(marked, F.col("_front"), limit, owner).drop("_new", "_front", "_last_seq")
 
 
 def delete_entries(existing: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 One shuffle moves each document's text to the partition of its key; chunking,
 term counts, document frequencies and norms then all group within that
-partitioning, so they add sorts but no exchange.  A document has at most 400
-chunks, which bounds every group that is gathered here.
+partitioning, so they add sorts but no exchange.  Of a question's hits only the best
+k are gathered.
 """
 
 from __future__ import annotations
@@ -109,7 +109,10 @@ def pick_chunks(
     questions are spread over the copies.
     """
     hot = hot_keys(questions, "doc_id", hot_rows)
-    copies = copy_per_salt(documents.select("doc_id", "text"), hot, "doc_id")
+    # Documents that nobody asks about drop out before their text moves.
+    asked = questions.where(~is_blank(F.col("question"))).select("doc_id").distinct()
+    wanted = documents.select("doc_id", "text").join(asked, "doc_id", "left_semi")
+    copies = copy_per_salt(wanted, hot, "doc_id")
     index = build_index(copies, ("doc_id", SALT))
     return _pick(index, salt_rows(questions, hot, "doc_id", "question_id"), k)
 
@@ -175,31 +178,33 @@ def _pick(index: Index, questions: DataFrame, k: int) -> DataFrame:
             F.sum("square").alias("square"),
         )
     )
-    scored = per_chunk.groupBy(*ask).agg(
-        F.max("question").alias("question"),
-        F.sqrt(F.sum("square")).alias("asked_norm"),
-        F.collect_list(
-            F.when(
-                F.col("chunk_index").isNotNull(),
-                F.struct("chunk_index", (F.col("dot") / F.nullif("norm", F.lit(0.0))).alias("part")),
-            )
-        ).alias("hits"),
-    )
     # Rounding makes the order independent of the order of summation.
+    of_question = Window.partitionBy(*ask)
+    part = F.col("dot") / F.nullif("norm", F.lit(0.0))
+    scored = per_chunk.withColumns(
+        {
+            "question": F.max("question").over(of_question),
+            "_size": F.sqrt(F.sum("square").over(of_question)),
+        }
+    ).withColumn(
+        "key", F.when(F.col("chunk_index").isNotNull(), -F.round(part / F.col("_size"), 12))
+    )
+    # The bare question comes last, so k + 1 rows hold it or k hits.
+    rank = F.row_number().over(
+        of_question.orderBy(F.col("chunk_index").isNull(), "key", "chunk_index")
+    )
     found = F.slice(
         F.sort_array(
-            F.transform(
-                "hits",
-                lambda h: F.struct(
-                    (-F.round(h["part"] / F.col("asked_norm"), 12)).alias("key"),
-                    h["chunk_index"].alias("chunk_index"),
-                ),
-            )
+            F.collect_list(F.when(F.col("chunk_index").isNotNull(), F.struct("key", "chunk_index")))
         ),
         1,
         k,
     )
-    top = scored.select(*ask, "question", found.alias("found"))
+    top = (
+        scored.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
+        .groupBy(*ask)
+        .agg(F.max("question").alias("question"), found.alias("found"))
+    )
     # No filter on the chunk array here: it would move below the shuffle and
     # cut every text a second time.
     joined = top.join(index.chunks.hint("merge"), ["doc_id", SALT])

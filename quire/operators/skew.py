@@ -1,8 +1,9 @@
 """Salting for keys that hold a large share of one side of a join.
 
-A key outside the HOT_LIMIT most frequent ones holds less than one part in
-HOT_LIMIT of the rows, so the list of hot keys that has to be broadcast is
-bounded by HOT_LIMIT rows whatever the size of the data.
+A key is hot if it holds more than one part in SHARES of all rows (and more than
+HOT_ROWS of them), so there are fewer than SHARES hot keys whatever the size of
+the data, and that list can be broadcast.  A hot key gets as many salts as it has
+such parts.
 """
 
 from __future__ import annotations
@@ -10,27 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_LIMIT = 1000
+SHARES = 2000
 HOT_ROWS = 50_000
-MAX_SALTS = 512
 SALT = "_salt"
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(key, _salts) of the keys with more than ``hot_rows`` rows; at most HOT_LIMIT.
-
-    The count combines map-side, and the limit is a top-k, not a global sort.
-    """
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), key)
-        .limit(HOT_LIMIT)
-        .select(
-            key,
-            F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
-        )
+def hot_keys(
+    df: DataFrame, key: str, hot_rows: int = HOT_ROWS, shares: int = SHARES
+) -> DataFrame:
+    """(key, _salts) of the hot keys: fewer than ``shares``.  Counts combine map-side."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    part = F.greatest(F.lit(hot_rows), F.ceil(df.select(F.count(F.lit(1))).scalar() / shares))
+    return counts.where(F.col("_rows") > part).select(
+        key, F.ceil(F.col("_rows") / part).cast("int").alias("_salts")
     )
 
 

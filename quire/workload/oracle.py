@@ -59,7 +59,7 @@ WRAPPED = r"""SELECT doc_id, CASE WHEN lang = 'en'
       replace(text, ', ', ' ,' || chr(9) || ' ' || chr(13) || chr(10) || '  ') END AS text FROM documents"""
 PAGES = f"""SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_number, substr(text, CAST(i * {PAGE_CHARS} + 1 AS BIGINT), {PAGE_CHARS}) AS text
   FROM documents, unnest(range(CAST(ceil(length(text) / {PAGE_CHARS}.0) AS BIGINT))) AS t(i)"""
-OCR = "SELECT doc_id, page_number, replace(text, 'e', 'c') AS text FROM pages_cut WHERE doc_id IN (SELECT doc_id FROM labels)"
+OCR = "SELECT doc_id, page_number, replace(text, 'e', 'c') AS text FROM pages_cut WHERE page_number <> 7"
 QUESTIONS = "SELECT d.doc_id, d.doc_id AS question_id, b.text AS question FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
 USER_QUESTIONS = "SELECT conv_id * 1000 + turn AS question_id, conv_id AS doc_id, text AS question FROM conversations WHERE role = 'user'"
 UPLOADS = """SELECT page_id AS doc_id,
@@ -67,7 +67,7 @@ UPLOADS = """SELECT page_id AS doc_id,
   (['application/pdf', 'image/png', 'image/jpeg', '', 'text/html'])[page_id % 5 + 1] AS mime_type,
   CAST(length(html) * 1000 AS BIGINT) AS size_bytes FROM pages"""
 SUMMARIES = """SELECT doc_id, string_split(text, chr(10))[1] AS title, source AS document_type, text AS summary,
-  list_slice(string_split(text, '. '), 1, 3) AS key_points, list_slice(string_split(text, '. '), 1, 2) AS main_ideas,
+  string_split(text, '. ') AS key_points, list_reverse(string_split(text, '. ')) AS main_ideas,
   [lang, source] AS entities, CASE WHEN lang = 'en' THEN ['read ' || source] ELSE []::VARCHAR[] END AS action_items,
   CASE WHEN lang = 'fr' THEN NULL ELSE source || '*.pdf' END AS file_name,
   CASE WHEN lang = 'de' THEN 'long' ELSE 'short' END AS length,
@@ -140,8 +140,8 @@ def retrieval_cte(source: str) -> str:
 kept AS (SELECT doc_id, n, {trim('substr(t, s + 1, e - s)')} AS text FROM cut),
 numbered AS (SELECT doc_id, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS chunk_index
   FROM kept WHERE length(text) > 40 OR n = 0),
-chunks AS (SELECT doc_id, CAST(least(400, count(*) OVER (PARTITION BY doc_id)) AS INTEGER) AS n_chunks, chunk_index, text
-  FROM numbered WHERE chunk_index < 400)"""
+chunks AS (SELECT doc_id, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_chunks, chunk_index, text
+  FROM numbered)"""
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -370,7 +370,7 @@ _SAMPLE = (
 )
 _FIT = f"length({trim('text')}) >= 80"
 _NOTES = f"""{_LONG_CHUNKS},
-noted AS (SELECT doc_id, length, chunk_index, md5(text) AS content, length = 'any' AND chunk_index = 1 AS broken FROM sections WHERE n_chunks > 1 AND length <> 'short'),
+noted AS (SELECT doc_id, length, chunk_index, md5(text) AS content, length = 'any' AND chunk_index = 1 AS broken FROM sections WHERE n_chunks > 1),
 notes AS (SELECT doc_id, length, count(*) AS n_sections, bool_or(broken) AS broken,
   string_agg('--- Section ' || (chunk_index + 1) || ' ---' || chr(10) || content, chr(10) || chr(10) ORDER BY chunk_index) AS sections FROM noted GROUP BY doc_id, length)"""
 
@@ -452,7 +452,7 @@ SQL: dict[str, str] = {
     "ocr_work_list": f"WITH {_PAGE_CTE} SELECT doc_id, page_number FROM q WHERE is_suspicious",
     "page_routing": f"WITH {_PAGE_CTE} SELECT doc_id, page_number, text, method FROM routed",
     "page_statistics": f"WITH {_PAGE_CTE} SELECT doc_id, count(*) AS page_count, CAST(sum({words('text')}) AS BIGINT) AS total_word_count, round(avg({words('text')}), 6) AS average_words_per_page FROM routed GROUP BY doc_id",
-    "combined_documents": f"WITH {_PAGE_CTE} SELECT doc_id, 0 AS part, text, page_count, {_COUNTS}, method FROM combined",
+    "combined_documents": f"WITH {_PAGE_CTE} SELECT doc_id, text, page_count, {_COUNTS}, method FROM combined",
     "extract_uploads": f"WITH {_EXTRACTED} SELECT * FROM extracted",
     "trimmed_pages": f"WITH pages_cut AS ({PAGES}) SELECT doc_id, page_number, {trim('text')} AS text FROM pages_cut",
     "normalize_lines": f"WITH {normalized(WRAPPED)} SELECT doc_id, text FROM norm_tidy",
@@ -512,9 +512,9 @@ SELECT CAST(doc_id AS VARCHAR) AS request_id, CASE WHEN lang <> 'es' THEN array_
   CASE WHEN file_name LIKE '%.pdf' THEN 'PDF' WHEN file_name LIKE '%.PNG' THEN 'PNG' ELSE 'JPG' END AS label,
   CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN (size_bytes * 20 + 1024) // 2048 // 10 || '.' || (size_bytes * 20 + 1024) // 2048 % 10 || ' KB'
     ELSE (size_bytes * 20 + 1048576) // 2097152 // 10 || '.' || (size_bytes * 20 + 1048576) // 2097152 % 10 || ' MB' END AS size FROM ({UPLOADS})""",
-    "history_latest": f"WITH latest AS (SELECT * FROM ({WRITES}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) SELECT * EXCLUDE (event_type) FROM latest ORDER BY created_at DESC, seq DESC LIMIT 100",
+    "history_latest": f"WITH latest AS (SELECT * FROM ({WRITES}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) SELECT * EXCLUDE (event_type) FROM latest QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY created_at DESC, seq DESC) <= 100",
     "history_upsert": f"""WITH w AS ({WRITES}), latest AS (SELECT *, event_type = 'error' AS fresh FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_type = 'error' DESC, seq DESC) = 1)
-SELECT * EXCLUDE (event_type, fresh) FROM latest ORDER BY fresh AND seq = (SELECT max(seq) FROM w WHERE event_type = 'error') DESC, created_at DESC, seq DESC LIMIT 100""",
+SELECT * EXCLUDE (event_type, fresh) FROM latest QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY fresh AND seq = (SELECT max(seq) FROM w WHERE event_type = 'error') DESC, created_at DESC, seq DESC) <= 100""",
     "history_delete": f"""WITH w AS ({WRITES}), latest AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT * EXCLUDE (event_type) FROM latest WHERE id NOT IN (SELECT id FROM w WHERE event_type = 'signup' GROUP BY id HAVING count(*) > 12)""",
     "history_stats": f"""WITH latest AS (SELECT * FROM ({WRITES}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)

@@ -229,7 +229,7 @@ def section_requests(v: Views) -> DataFrame:
 
 def _sections(v: Views) -> DataFrame:
     """Each section answered by a digest of itself; a second German or Spanish one fails."""
-    chunks = summarize.document_chunks(v.long_documents().where("length <> 'short'"))
+    chunks = summarize.document_chunks(v.long_documents())
     broken = (F.col("length") == "any") & (F.col("chunk_index") == 1)
     return chunks.where("n_chunks > 1").select(
         "doc_id", "length", "chunk_index",
@@ -358,14 +358,15 @@ def upload_labels(v: Views) -> DataFrame:
 @query
 def history_latest(v: Views) -> DataFrame:
     latest = history.latest_per_id(v.history_writes())
-    return history.cap_entries(latest, F.lit(False)).drop("event_type")
+    return history.cap_entries(latest, F.lit(False), 100, "event_type").drop("event_type")
 
 
 @query
 def history_upsert(v: Views) -> DataFrame:
     writes = v.history_writes()
     existing = history.latest_per_id(writes.where("event_type <> 'error'"))
-    return history.save_entries(existing, writes.where("event_type = 'error'")).drop("event_type")
+    new = writes.where("event_type = 'error'")
+    return history.save_entries(existing, new, 100, "event_type").drop("event_type")
 
 
 @query

@@ -67,11 +67,9 @@ class Views:
         )
 
     def ocr_pages(self) -> DataFrame:
-        """An OCR reading (one letter misread) of the pages of labelled documents."""
-        return (
-            self.pages()
-            .join(self.table("labels").select("doc_id"), "doc_id", "left_semi")
-            .select("doc_id", "page_number", F.replace(F.col("text"), F.lit("e"), F.lit("c")).alias("text"))
+        """An OCR reading (one letter misread) of every page but each document's seventh."""
+        return self.pages().where("page_number <> 7").select(
+            "doc_id", "page_number", F.replace(F.col("text"), F.lit("e"), F.lit("c")).alias("text")
         )
 
     def questions(self) -> DataFrame:
@@ -121,8 +119,8 @@ class Views:
             F.element_at(F.split("text", "\n"), 1).alias("title"),
             F.col("source").alias("document_type"),
             F.col("text").alias("summary"),
-            F.slice(sentences, 1, 3).alias("key_points"),
-            F.slice(sentences, 1, 2).alias("main_ideas"),
+            sentences.alias("key_points"),
+            F.reverse(sentences).alias("main_ideas"),
             F.array("lang", "source").alias("entities"),
             F.when(F.col("lang") == "en", F.array(F.concat(F.lit("read "), "source"))).otherwise(empty).alias("action_items"),
             F.when(F.col("lang") == "fr", F.lit(None).cast("string"))

@@ -83,7 +83,7 @@ def summary_pieces(text):
 
 def retrieval_pieces(text):
     kept = [p[2] for n, p in enumerate(pieces(text, 1200, 600, 200)) if n == 0 or len(units(p[2])) > 40]
-    return kept[:400]
+    return kept
 
 
 def terms(text):

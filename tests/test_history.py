@@ -25,9 +25,18 @@ def test_batch_save_equals_saves_one_by_one(spark):
     new = [(f"i{k}" if k % 3 else f"n{k}", stamp(3000 + k), k) for k in range(0, 90, 2)]
     # The last one written is the oldest by date: it stays all the same.
     new.append(("late", "2000-01-01T00:00:00.000Z", 1000))
-    got = save_entries(entries(spark, old), entries(spark, new)).collect()
+    got = save_entries(entries(spark, old), entries(spark, new), 100).collect()
     want = brute.saves([e[:2] for e in sorted(old, key=lambda e: e[1])] + [e[:2] for e in new])
     assert {r.id for r in got} == want and "late" in want and len(got) == 100
+    # Without a limit nothing is cut; with an owner each list is cut by itself.
+    everyone = {e[0] for e in old + new}
+    assert {r.id for r in save_entries(entries(spark, old), entries(spark, new)).collect()} == everyone
+    both = [entries(spark, e).withColumn("owner", F.substring("id", 1, 1)) for e in (old, new)]
+    kept = save_entries(*both, limit=20, owner="owner").collect()
+    sizes = {o: sum(r.owner == o for r in kept) for o in "inl"}
+    assert sizes == {"i": 20, "n": min(20, sum(e[0][0] == "n" for e in new)), "l": 1}
+    last_i = max((e for e in new if e[0][0] == "i"), key=lambda e: e[2])[0]
+    assert last_i in {r.id for r in kept}
 
 
 def test_store_versions(spark, tmp_path):

@@ -6,7 +6,7 @@ from quire.functions.jsonx import find_json
 from quire.functions.normalize import normalize_extracted_text
 from quire.functions.quality import with_quality
 from quire.functions.share import parse_share_fragment
-from quire.functions.split import RETRIEVAL_MAX_CHUNKS, document_sample, retrieval_chunks, summary_chunks
+from quire.functions.split import document_sample, retrieval_chunks, summary_chunks
 from quire.operators.pages import with_counts
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def test_long_junk_passes_through_every_text_function(spark):
         parse_share_fragment(F.concat(F.lit("#"), t)).alias("link"),
         "word_count",
     ).collect()
-    assert max(r.chunks for r in done) <= RETRIEVAL_MAX_CHUNKS and all(r.link is None for r in done)
+    assert all(r.link is None for r in done)
     assert time.time() - started < 120
 
 

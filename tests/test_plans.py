@@ -62,15 +62,17 @@ def test_extraction_outcomes(spark):
     ]
 
 
-def test_a_long_document_comes_in_parts(spark):
-    rows = [(1, n, f"Readable text of page number {n} follows here.") for n in range(1, 24)] + [(2, 1, "Another readable page of text.")]
-    table = spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")
-    whole = by_id(pages.combine_pages(table, table.where("false")))
-    parts = pages.combine_pages(table, table.where("false"), part_pages=5).collect()
-    long = sorted((p for p in parts if p.doc_id == 1), key=lambda p: p.part)
-    assert [p.part for p in long] == [0, 1, 2, 3, 4] and {p.page_count for p in long} == {23}
-    assert "\n\n".join(p.text for p in long) == whole[1].text
-    assert [p.text for p in parts if p.doc_id == 2] == [whole[2].text]
+def test_a_document_of_thousands_of_pages_is_one_upload(spark):
+    count = 5_000
+    text = F.when(F.col("page_number") > 4_096, F.concat(F.lit("Readable text of page number "), "page_number", F.lit(" follows here."))).otherwise("")
+    table = spark.range(1, count + 1).select(F.lit(1).cast("bigint").alias("doc_id"), F.col("id").cast("int").alias("page_number")).withColumn("text", text)
+    uploads = spark.createDataFrame([(1, "a.pdf", "application/pdf", 10)], "doc_id bigint, file_name string, mime_type string, size_bytes bigint")
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    (row,) = extract.extract_documents(uploads, table, table.where("false"), none).collect()
+    assert (row.success, row.status, row.method, row.page_count, len(row.pages)) == (True, 200, "ocr", count, count)
+    assert row.text.startswith(f"-- 4097 of {count} --\n") and row.word_count == len(row.text.split())
+    requests = summarize.map_requests(spark.createDataFrame([(1, row.text, "short")], "doc_id bigint, text string, length string")).collect()
+    assert len({r.request_id for r in requests}) == len(requests) > 5
 
 
 def test_summary_map_and_reduce(spark):

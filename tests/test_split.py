@@ -3,50 +3,61 @@ import random
 import brute
 from quire.functions.split import document_sample, retrieval_chunks, summary_chunks
 
-
-def paragraphs(count, words):
-    return "\n\n".join(f"Paragraph {i}: " + " ".join(f"word{j}" for j in range(words)) for i in range(count))
-
-
-def long_texts():
-    rng = random.Random(5)
-    texts = [
-        "", "   \n ", "short text", "  padded  ",
-        "".join(". " if i % 60 == 59 else "a" for i in range(60_000)),
-        paragraphs(120, 40), paragraphs(80, 60), paragraphs(60, 50),
-        " ".join(f"This is sentence number {i} of one paragraph." for i in range(600)),
-        "x" * 70_000, "é" * 30_000, "é" * 30_001, "a. " * 12_000, "\n\n".join(["p" * 900] * 80),
-        "word " * 300 + "\n\n" + "y" * 5_000, "z" * 1_200, "z" * 1_201, "😀" * 700, "ab😀. " * 6_000, "a" + "😀" * 16_000,
-    ]
-    marks = ["\n\n", ". ", "? ", "! ", " ", "\n", " ", " "]
-    for _ in range(60):
-        n = rng.choice([50, 400, 3000, 12000])
-        texts.append("".join("w" * rng.randint(1, 12) + rng.choice(marks) for _ in range(n)))
+MARKS = ["\n\n", "! ", "? ", ". ", "\n", " ", " ", ", "]
+
+
+def prose(rng, units, mark_every=6):
+    """Random words with a mark now and then, about so many units long."""
+    out, size = [], 0
+    while size < units:
+        word = "".join(rng.choices("abcdeé", k=rng.randint(1, 11)))
+        mark = rng.choice(MARKS) if rng.randrange(mark_every) == 0 else " "
+        out.append(word + mark)
+        size += len(word) + len(mark)
+    return "".join(out)
+
+
+def edge_texts():
+    """Lengths around every limit, with and without places to cut."""
+    texts = ["", "\t\n", " a ", "one line"]
+    for limit in (40, 600, 1_200, 28_000, 30_000):
+        for size in (limit - 1, limit, limit + 1):
+            texts += ["q" * size, "q" * (size - 2) + ". ", "é" * size, "q" * (size // 2) + "\n\n" + "r" * (size - size // 2 - 2)]
+    texts += ["🙂" * 900, "🙂. " * 4_000, "u" + "🙂" * 15_500, "v. " * 11_000, "\n\n".join(["s" * 700] * 90)]
     return texts
 
 
+def random_texts():
+    rng = random.Random(21)
+    return [prose(rng, rng.choice([70, 900, 5_000, 33_000]), rng.choice([2, 6, 40])) for _ in range(60)]
+
+
 def test_summary_chunks_equal_brute_force(column):
-    texts = long_texts()
+    texts = edge_texts() + random_texts() + [prose(random.Random(1), 95_000)]
     for text, got in zip(texts, column(summary_chunks, texts)):
         assert [(c.start_character, c.end_character, c.text) for c in got] == brute.summary_pieces(text), text[:60]
 
 
-def test_summary_chunk_invariants(column):
-    text = paragraphs(120, 40)
-    (chunks,) = column(summary_chunks, [text])
-    assert " ".join(c.text for c in chunks).split() == text.split()
-    assert all(len(c.text) <= 30_001 for c in chunks)
+def test_summary_chunks_lose_no_word(column):
+    texts = [prose(random.Random(i), 70_000 + 9_000 * i) for i in range(3)]
+    for text, chunks in zip(texts, column(summary_chunks, texts)):
+        assert "".join("".join(c.text.split()) for c in chunks) == "".join(text.split())
+        assert len(chunks) >= 3 and all(c.end_character - c.start_character <= 30_000 for c in chunks)
 
 
 def test_retrieval_chunks_equal_brute_force(column):
-    texts = long_texts() + ["k" * 1_000 + ". " + "m" * 230, "para. " * 90_000]
-    for text, got in zip(texts, column(retrieval_chunks, texts)):
-        assert got == brute.retrieval_pieces(text), text[:60]
-    assert max(len(g) for g in column(retrieval_chunks, texts)) == 400
+    texts = edge_texts() + random_texts() + ["t" * 990 + "? " + "n" * 240, "line. " * 80_000]
+    got = column(retrieval_chunks, texts)
+    for text, chunks in zip(texts, got):
+        assert chunks == brute.retrieval_pieces(text), text[:60]
+    # Nothing is cut off a long text unless a number of chunks is asked for.
+    assert len(got[-1]) > 400
+    assert column(lambda c: retrieval_chunks(c, 7), texts[-1:]) == [got[-1][:7]]
 
 
-def test_sample(column):
-    text = "".join(chr(97 + i % 26) for i in range(7_001))
+def test_sample_of_a_long_document(column):
+    text = "".join(chr(0x61 + (i * 7) % 26) for i in range(9_000))
     gap = "\n\n[…]\n\n"
-    want = text[:3000] + gap + text[3500 - 1500 : 3500] + gap + text[-1500:]
-    assert column(document_sample, [text, "x" * 6000, "  y "]) == [want, "x" * 6000, "y"]
+    want = text[:3000] + gap + text[3000:4500] + gap + text[7500:]
+    assert column(document_sample, [text, "\tz ", "k" * 6000]) == [want, "z", "k" * 6000]
+    assert column(lambda c: document_sample(c, 400), [text]) == [text[:200] + gap + text[4400:4500] + gap + text[-100:]]
