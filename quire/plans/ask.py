@@ -19,8 +19,10 @@ from quire.operators.retrieval import TOP_K, pick_chunks
 from quire.operators.skew import HOT_ROWS
 from quire.plans.outcome import (
     INTERNAL,
+    INVALID,
     MESSAGE_ANSWER_FAILED,
     MESSAGE_NO_DOCUMENT,
+    MESSAGE_NO_QUESTION,
     MESSAGE_QUESTIONS_FAILED,
     MESSAGE_SHORT_DOCUMENT,
     UPSTREAM,
@@ -56,6 +58,30 @@ def question_requests(documents: DataFrame, count: int = QUESTION_COUNT) -> Data
     )
 
 
+def rejected_questions(documents: DataFrame, questions: DataFrame) -> DataFrame:
+    """Outcome rows of the questions that answer_requests leaves out: blank ones and
+    those about a document that is unknown, blank or too short.
+
+    Only a flag of each document is joined, not its text.
+    """
+    known = documents.select(
+        "doc_id", is_blank(F.col("text")).alias("_blank"), is_long_enough(F.col("text")).alias("_fit")
+    )
+    outcome = (
+        Outcome()
+        .fail(is_blank(F.col("question")), INVALID, "INVALID_INPUT", MESSAGE_NO_QUESTION)
+        .fail(F.coalesce("_blank", F.lit(True)), UPSTREAM, FAILED, MESSAGE_NO_DOCUMENT)
+        .fail(~F.col("_fit"), UPSTREAM, FAILED, MESSAGE_SHORT_DOCUMENT)
+    )
+    return (
+        questions.select("doc_id", "question_id", "question")
+        .join(known, "doc_id", "left")
+        .withColumns(outcome.columns())
+        .where("not success")
+        .drop("_blank", "_fit", "question")
+    )
+
+
 def suggested_questions(responses: DataFrame, count: int = QUESTION_COUNT) -> DataFrame:
     """First attempt that yields a usable question, with outcome columns."""
     parsed = parse_payloads(read_completions(responses.withColumn("json_mode", F.lit(True))))

@@ -27,6 +27,11 @@ def extract_documents(
     anything for is a failed extraction.
     """
     checked = validate_uploads(uploads)
+    # Metadata alone tells what is accepted; nothing else is scored or moved.
+    accepted = checked.where("error is null").select("doc_id").distinct()
+    pages, ocr_pages, ocr_images = (
+        t.join(accepted, "doc_id", "left_semi") for t in (pages, ocr_pages, ocr_images)
+    )
     pdf = combine_pages(pages, ocr_pages).withColumn("source_type", F.lit("pdf"))
     images = image_documents(ocr_images).withColumn("source_type", F.lit("image"))
     text = pdf.unionByName(images)

@@ -17,7 +17,6 @@ MESSAGE_NOT_JSON = "Request body must be JSON."
 MESSAGE_NO_TEXT_TO_SUMMARIZE = "No document text was provided to summarize."
 MESSAGE_NO_TEXT = "No document text was provided."
 MESSAGE_NO_QUESTION = "No question was provided."
-MESSAGE_NO_FILE = "No file was provided."
 MESSAGE_EMPTY_PDF = "No readable text could be extracted from this PDF."
 MESSAGE_EMPTY_IMAGE = (
     "No text could be detected in this image. Try a clearer photo or a higher-resolution scan."
@@ -40,6 +39,7 @@ MESSAGE_TRUNCATED = "The AI response was cut off before it could be completed. P
 MESSAGE_EMPTY_COMPLETION = "The AI service returned an empty response."
 MESSAGE_UNREACHABLE = "Could not reach the AI service."
 MESSAGE_HTTP_ERROR = "The AI service returned an error. Please try again."
+MESSAGE_HTTP_STATUS = "The AI service returned an error (status %s). Please try again."
 
 
 class Outcome:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.files import file_type_label
 from quire.plans.extract import extract_documents
-from quire.plans.summarize import map_requests
+from quire.plans.summarize import chunk_requests, document_chunks
 from quire.session import materialize
 
 
@@ -24,7 +24,10 @@ def summarize_at_lengths(extracted: DataFrame, lengths: DataFrame) -> DataFrame:
     The text is read from the extraction table; a new length re-runs only this.
     """
     texts = extracted.where("success").select("doc_id", "text")
-    return map_requests(texts.join(lengths.select("doc_id", "length"), "doc_id"))
+    asked = lengths.groupBy("doc_id").agg(F.collect_set("length").alias("_lengths"))
+    chunks = document_chunks(texts.join(asked, "doc_id"))
+    # Each text is cut once, whatever the number of lengths.
+    return chunk_requests(chunks.withColumn("length", F.explode("_lengths")))
 
 
 def history_entries(

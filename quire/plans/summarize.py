@@ -33,6 +33,7 @@ from quire.plans.outcome import (
     MESSAGE_BAD_SHAPE,
     MESSAGE_EMPTY_COMPLETION,
     MESSAGE_HTTP_ERROR,
+    MESSAGE_HTTP_STATUS,
     MESSAGE_NO_SUMMARY,
     MESSAGE_NOTHING_TO_SUMMARIZE,
     MESSAGE_SUMMARY_FAILED,
@@ -71,10 +72,14 @@ def document_chunks(documents: DataFrame) -> DataFrame:
 
 def map_requests(documents: DataFrame) -> DataFrame:
     """First round: one direct request, or one request per section."""
+    return chunk_requests(document_chunks(documents))
+
+
+def chunk_requests(chunks: DataFrame) -> DataFrame:
     single = F.col("n_chunks") == 1
     length = known_length(F.col("length"))
     part = F.col("chunk_index") + 1
-    return document_chunks(documents).select(
+    return chunks.select(
         F.concat_ws(":", F.col("doc_id"), length, F.when(single, "direct").otherwise("section"), part).alias("request_id"),
         "doc_id",
         length.alias("length"),
@@ -95,16 +100,21 @@ def empty_documents(documents: DataFrame) -> DataFrame:
 
 
 def section_notes(sections: DataFrame) -> DataFrame:
-    """(doc_id, length, chunk_index, content, completion_error) -> notes per document.
+    """(doc_id, length, chunk_index, content, completion_error[, status]) -> notes per
+    document, with error and HTTP status of its first failed section.
 
     A document has one section per 28 000 to 30 000 characters of one cell.
     """
     ordered = F.sort_array(F.collect_list(F.struct("chunk_index", "content")))
+    failed = F.when(F.col("completion_error").isNotNull(), F.col("chunk_index"))
+    status = F.col("status") if "status" in sections.columns else F.lit(None)
     return (
-        sections.groupBy("doc_id", "length")
+        sections.withColumn("status", status.cast("int"))
+        .groupBy("doc_id", "length")
         .agg(
             ordered.alias("_parts"),
-            F.min_by("completion_error", F.when(F.col("completion_error").isNotNull(), F.col("chunk_index"))).alias("section_error"),
+            F.min_by("completion_error", failed).alias("section_error"),
+            F.min_by("status", failed).alias("section_status"),
         )
         .withColumn(
             "sections",
@@ -141,12 +151,15 @@ def failed_sections(sections: DataFrame) -> DataFrame:
     message = F.lit(MESSAGE_SUMMARY_FAILED)
     for code, text in _COMPLETION_MESSAGES.items():
         message = F.when(F.col("section_error") == code, text).otherwise(message)
+    told = (F.col("section_error") == HTTP_ERROR) & F.col("section_status").isNotNull()
+    message = F.when(told, F.format_string(MESSAGE_HTTP_STATUS, "section_status")).otherwise(message)
     outcome = Outcome().fail(F.lit(True), UPSTREAM, FAILED, message)
     return (
         section_notes(sections)
         .where(F.col("section_error").isNotNull())
-        .select("doc_id", "section_error")
+        .select("doc_id", "section_error", "section_status")
         .withColumns(outcome.columns())
+        .drop("section_status")
     )
 
 

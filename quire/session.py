@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()

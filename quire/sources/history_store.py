@@ -1,12 +1,17 @@
 """History kept as immutable versions of a small table.
 
-Each change writes a new version folder.  The newest folder that holds a
-_SUCCESS marker is the current one, so a job that dies half way changes nothing
-and no path is overwritten while it is read.
+Each change writes a fresh folder and then renames it to the next version, which
+fails if another writer has published that version; the change is then applied to
+what that writer left.  So a job that dies half way changes nothing, no path is
+overwritten while it is read, and no committed version is lost.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators.history import delete_entries, newest_first, read_entries, save_entries
@@ -19,6 +24,9 @@ ENTRY_SCHEMA = (
 )
 
 
+ATTEMPTS = 20
+
+
 class HistoryStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -39,21 +47,45 @@ class HistoryStore:
     def load(self) -> DataFrame:
         return newest_first(self.entries())
 
-    def _commit(self, entries: DataFrame) -> None:
-        version = (self.versions() or [0])[-1] + 1
-        # A folder of that number without a marker is a dead attempt.
-        entries.write.mode("overwrite").parquet(f"{self.path}/v={version:08d}")
+    def _publish(self, folder: str, version: int) -> bool:
+        """Give a written folder its version number; False if another writer has it."""
+        jvm = self.spark._jvm
+        fs = jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(
+            fs.Path(self.path).toUri(), self.spark._jsc.hadoopConfiguration()
+        )
+        no_overwrite = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+        target = fs.Path(f"{self.path}/v={version:08d}")
+        try:
+            context.rename(fs.Path(folder), target, no_overwrite)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
+    def _commit(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Apply ``change`` to the current entries; start over if a version came between."""
+        for _ in range(ATTEMPTS):
+            version = (self.versions() or [0])[-1] + 1
+            folder = f"{self.path}/_new-{uuid.uuid4().hex}"
+            change(self.entries()).write.parquet(folder)
+            if self._publish(folder, version):
+                return
+        raise RuntimeError(f"{ATTEMPTS} other writers came first")
 
-    def save(self, new: DataFrame) -> None:
-        self._commit(save_entries(self.entries(), new))
+    def save(self, new: DataFrame, limit: int | None = None, owner: str | None = None) -> None:
+        self._commit(lambda now: save_entries(now, new, limit, owner))
 
     def delete(self, ids: DataFrame) -> None:
-        self._commit(delete_entries(self.entries(), ids))
+        self._commit(lambda now: delete_entries(now, ids))
 
     def clear(self) -> None:
-        self._commit(self.spark.createDataFrame([], ENTRY_SCHEMA))
+        self._commit(lambda now: now.where("false"))
 
     def import_json(self, stored: DataFrame) -> None:
         """Take over a list stored as one JSON array (text column ``value``)."""
         rows = read_entries(stored)
-        self._commit(rows.withColumn("seq", -rows["position"].cast("bigint")).drop("position"))
+        self._commit(
+            lambda _: rows.withColumn("seq", -rows["position"].cast("bigint")).drop("position")
+        )

@@ -89,7 +89,14 @@ def write_exports(exports: DataFrame, path: str) -> None:
 
 
 def write_export_files(exports: DataFrame, path: str) -> None:
-    """One UTF-8 text file per export, for a modest number of them."""
+    """One UTF-8 text file per export, for a modest number of them.
+
+    With a doc_id column the file's folder is named after it too, so that exports of
+    one title stay apart.
+    """
+    if "doc_id" in exports.columns:
+        name = F.concat_ws("-", F.col("doc_id").cast("string"), "file_name")
+        exports = exports.withColumn("file_name", name)
     # The sink ends each row with the line break that ends each export.
     body = F.regexp_replace("content", r"\n\z", "").alias("content")
     exports.select("format", "file_name", body).write.mode("errorifexists").partitionBy(

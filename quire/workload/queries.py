@@ -235,6 +235,7 @@ def _sections(v: Views) -> DataFrame:
         "doc_id", "length", "chunk_index",
         F.md5("text").alias("content"),
         F.when(broken, completions.HTTP_ERROR).alias("completion_error"),
+        F.when(broken, 503).otherwise(200).alias("status"),
     )
 
 
@@ -248,6 +249,15 @@ def failed_sections(v: Views) -> DataFrame:
     return summarize.failed_sections(_sections(v))
 
 
+@query
+def rejected_questions(v: Views) -> DataFrame:
+    """Questions to short and unknown documents, and every third one blank."""
+    asked = v.questions().withColumn(
+        "question", F.when(F.col("question_id") % 3 == 0, " \t").otherwise(F.col("question"))
+    ).withColumn("doc_id", F.when(F.col("question_id") % 7 == 0, -1).otherwise(F.col("doc_id")))
+    return ask.rejected_questions(v.documents(), asked)
+
+
 @query
 def summary_inputs(v: Views) -> DataFrame:
     """Documents a summary or a question cannot be asked of."""

@@ -72,7 +72,7 @@ def test_a_document_of_thousands_of_pages_is_one_upload(spark):
     assert (row.success, row.status, row.method, row.page_count, len(row.pages)) == (True, 200, "ocr", count, count)
     assert row.text.startswith(f"-- 4097 of {count} --\n") and row.word_count == len(row.text.split())
     requests = summarize.map_requests(spark.createDataFrame([(1, row.text, "short")], "doc_id bigint, text string, length string")).collect()
-    assert len({r.request_id for r in requests}) == len(requests) > 5
+    assert len({r.request_id for r in requests}) == len(requests) == 3
 
 
 def test_summary_map_and_reduce(spark):
@@ -107,9 +107,9 @@ def test_summaries_take_the_first_good_attempt(spark):
     assert (got["a"].summary.summary, got["a"].attempt) == ("S", 1)
     assert (got["b"].summary.summary, got["b"].attempt) == ("second", 2)
     assert [(got[k].status, got[k].completion_error) for k in "cdefg"] == [
-        (502, "NO_SUMMARY"), (500, "EMPTY_COMPLETION"), (500, "HTTP_ERROR"), (502, "BAD_SHAPE"), (500, "UNREACHABLE"),
+        (502, "NO_SUMMARY"), (500, "EMPTY_COMPLETION"), (200, None), (502, "BAD_SHAPE"), (500, "UNREACHABLE"),
     ]
-    assert not any(got[k].success for k in "cdefg")
+    assert [k for k in "cdefg" if got[k].success] == ["e"]
 
 
 def test_questions_and_answers(spark):
