@@ -35,10 +35,13 @@ TECHNICAL_FULL = 8
 LONG_TOKEN = 30
 
 # Words that mark code or SQL.
-KEYWORDS = (
-    "class interface function return const let var public private protected "
-    "SELECT FROM WHERE JOIN HAVING INSERT UPDATE DELETE"
-).split() + ["GROUP BY", "ORDER BY"]
+CODE_WORDS = (
+    "class", "interface", "function", "return", "const", "let", "var", "public", "private", "protected",
+)
+SQL_WORDS = (
+    "SELECT", "FROM", "WHERE", "JOIN", "GROUP BY", "ORDER BY", "HAVING", "INSERT", "UPDATE", "DELETE",
+)
+KEYWORDS = [*CODE_WORDS, *SQL_WORDS]
 
 # Reason texts.
 REASON_EMPTY = "No text was extracted"

@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators.history import delete_entries, newest_first, read_entries, save_entries
 
+SUMMARY_SCHEMA = (
+    "struct<title:string,document_type:string,summary:string,key_points:array<string>,"
+    "main_ideas:array<string>,entities:array<string>,action_items:array<string>>"
+)
 ENTRY_SCHEMA = (
     "id string, created_at string, file_name string, source_type_label string, length string, "
-    "source_word_count bigint, summary struct<title:string,document_type:string,summary:string,"
-    "key_points:array<string>,main_ideas:array<string>,entities:array<string>,"
-    "action_items:array<string>>, seq bigint"
+    f"source_word_count bigint, summary {SUMMARY_SCHEMA}, seq bigint"
 )
 
 

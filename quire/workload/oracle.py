@@ -553,3 +553,10 @@ SELECT doc_id || ':' || l || ':' || CASE WHEN n_chunks = 1 THEN 'direct' ELSE 's
   CASE WHEN n_chunks = 1 THEN {_direct_prompt('text', 'l')} ELSE {_section_prompt('text', '(chunk_index + 1)', 'n_chunks')} END AS prompt
 FROM sections, unnest(['short', 'medium', 'long']) AS x(l)""",
 }
+# What comes back from a store, a sink or a stream is what the plain query gives.
+SQL["search_stored_index"] = SQL["retrieve_user_questions"]
+SQL["history_store"] = SQL["history_delete"].replace(
+    "ORDER BY seq DESC", "ORDER BY event_type = 'error' DESC, seq DESC"
+)
+SQL["streamed_pages"] = SQL["ocr_work_list"]
+SQL["written_exports"] = SQL["export_text"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,10 @@ from quire.functions.split import document_sample
 from quire.functions.text import count_words, unit_length
 from quire.operators import completions, conversation, history, pages, retrieval
 from quire.plans import ask, extract, panel, requests, summarize
-from quire.session import configure
+from quire.session import configure, shared_dir
+from quire.sources.history_store import SUMMARY_SCHEMA, HistoryStore
+from quire.sources.tables import export_table, write_exports
+from quire.streaming import ingest
 from quire.workload.views import Views, meta_columns, summary_columns
 
 MODEL = "any-chat-model"
@@ -506,3 +510,57 @@ def resummarize_lengths(v: Views) -> DataFrame:
     return panel.summarize_at_lengths(done, lengths).select(
         "request_id", "doc_id", "length", "n_chunks", "max_tokens", "prompt"
     )
+
+
+# --- stores, sinks and streams: written to the shared folder and read back ---
+
+
+def _folder(v: Views, name: str) -> str:
+    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def search_stored_index(v: Views) -> DataFrame:
+    """The index is written and read before the user turns are asked of it."""
+    path = _folder(v, "index")
+    retrieval.write_index(retrieval.build_index(v.documents()), path)
+    return _ranked(retrieval.search_index(retrieval.read_index(v.spark, path), v.user_questions()))
+
+
+@query
+def history_store(v: Views) -> DataFrame:
+    """Saves, a save that replaces, and a delete, each a version of the store."""
+    writes = v.history_writes()
+    store = HistoryStore(v.spark, _folder(v, "history"))
+    no_summary = F.from_json(F.lit(None).cast("string"), SUMMARY_SCHEMA).alias("summary")
+    for part in (writes.where("event_type <> 'error'"), writes.where("event_type = 'error'")):
+        last = history.latest_per_id(part)
+        store.save(
+            last.select(
+                "id", "created_at", "file_name", F.lit("PDF").alias("source_type_label"), "length",
+                F.lit(0).cast("bigint").alias("source_word_count"), no_summary, "seq",
+            )
+        )
+    store.delete(writes.where("event_type = 'signup'").groupBy("id").count().where("count > 12"))
+    return store.load().select("id", "created_at", "file_name", "length", "seq")
+
+
+@query
+def streamed_pages(v: Views) -> DataFrame:
+    """Pages arrive as files; the stream scores them and appends what it finds."""
+    source, sink, checkpoint = (_folder(v, n) for n in ("pages", "scored", "stream"))
+    v.pages().select(
+        "doc_id", F.col("page_number").cast("int").alias("page_number"), "text"
+    ).write.parquet(source)
+    scored = ingest.scored_stream(ingest.stream_pages(v.spark, source))
+    ingest.append_to(scored, sink, checkpoint).awaitTermination()
+    return v.spark.read.parquet(sink).where("is_suspicious").select("doc_id", "page_number")
+
+
+@query
+def written_exports(v: Views) -> DataFrame:
+    """The text exports of a table that was written by format and read back."""
+    path = _folder(v, "exports")
+    table = export_table(v.summaries(), summary_columns(), meta_columns(), "doc_id")
+    write_exports(table, path)
+    return v.spark.read.parquet(path).where("format = 'txt'").select("doc_id", "content")
