@@ -35,11 +35,13 @@ SAMPLE_GAP = "\n\n[…]\n\n"
 
 # English stop words left out of the index.
 STOP_WORDS = (
-    "a an and are as at be but by can did do does for from had has have how i if "
-    "in into is it its may of on or our s shall should so such t than that the "
-    "their them then there these they this to was we were what when where which "
-    "who whom why will with would you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "did", "do", "does", "for",
+    "from", "had", "has", "have", "how", "i", "if", "in", "into", "is", "it", "its", "may",
+    "of", "on", "or", "our", "s", "shall", "should", "so", "such", "t", "than", "that", "the",
+    "their", "them", "then", "there", "these", "they", "this", "to", "was", "we", "were",
+    "what", "when", "where", "which", "who", "whom", "why", "will", "with", "would", "you",
+    "your",
+)
 
 
 def _cut(least: int, most: int) -> str:
@@ -163,4 +165,4 @@ def raw_tokens(text: Column) -> Column:
 
 
 def is_term(token: Column) -> Column:
-    return (F.length(token) > 1) & ~token.isin(STOP_WORDS)
+    return (F.length(token) > 1) & ~token.isin(*STOP_WORDS)

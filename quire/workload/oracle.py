@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from quire.functions import prompts
-from quire.functions.quality import (
+from quire.workload import expected as o
+from quire.workload.expected import (
     KEYWORDS,
+    LONG_COPIES,
+    PAGE_CHARS,
     REASON_ALPHANUMERIC,
     REASON_EMPTY,
     REASON_FEW_CHARACTERS,
@@ -18,10 +21,9 @@ from quire.functions.quality import (
     REASON_UNPRINTABLE,
     REASON_UNREADABLE,
     REASON_VOWELS,
+    SAMPLE_GAP,
+    STOP_WORDS,
 )
-from quire.functions.split import SAMPLE_GAP, STOP_WORDS
-from quire.plans import outcome as o
-from quire.workload.views import LONG_COPIES, PAGE_CHARS
 
 
 def lit(text: str) -> str:
