@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 K = 5
 S = 2
 SKETCH = 64
-BLOCK_DOCUMENTS = 10_000
+BLOCK_DOCUMENTS = 1_000
 MOST_BLOCKS = 16_384
 FIRST = -(1 << 63)
 
