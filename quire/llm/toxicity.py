@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from quire.llm.arrow import map_rows, plain_words
+from quire.llm.frequent import most_frequent
 
 SAMPLE_TOXIC = 6000  # labelled documents at most, about; see labelled_sample
 SAMPLE_ORDINARY = 12000
@@ -173,16 +174,13 @@ def learn(
     n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
     frequencies = materialize(document_frequencies(made), "toxicity-words")
     least = max(LEAST_DOCUMENTS, RECURRING * n_toxic)
-    marked = (
-        frequencies.filter(F.col("toxic") >= least)
-        .filter(F.col("toxic") * max(1, n_ordinary) >= F.col("ordinary") * LIFT * max(1, n_toxic))
-        .orderBy(F.desc("toxic"), "word")
-        .limit(TOXIC_WORDS)
-        .collect()
+    telling = frequencies.filter(F.col("toxic") >= least).filter(
+        F.col("toxic") * max(1, n_ordinary) >= F.col("ordinary") * LIFT * max(1, n_toxic)
     )
+    marked = most_frequent(telling, "toxic", TOXIC_WORDS).orderBy(F.desc("toxic"), "word").collect()
     usual = (
-        frequencies.orderBy(F.desc("ordinary"), "word").filter("ordinary > 0")
-        .limit(ORDINARY_WORDS).collect()
+        most_frequent(frequencies, "ordinary", ORDINARY_WORDS)
+        .orderBy(F.desc("ordinary"), "word").collect()
     )
     # The most frequent words come last, nearest to what is compressed.
     content = [b"|" + b"|".join(bytes(r["word"]) for r in reversed(rows)) + TAIL if rows else b""

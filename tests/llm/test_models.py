@@ -62,6 +62,17 @@ def test_toxicity_without_labels(spark, labelled):
     assert toxicity.score_documents(docs.filter("false"), model).collect() == []
 
 
+def test_most_frequent_rows(spark):
+    from quire.llm.frequent import most_frequent
+
+    df = spark.range(0, 3000).selectExpr("id", "id div 10 as n")
+    for limit in (0, 5, 100, 1000, 5000):
+        rows = [r["n"] for r in most_frequent(df, "n", limit).collect()]
+        assert len(rows) <= limit and 0 not in rows
+        assert not rows or sorted(rows) == [n for n in range(300) for _ in range(10) if n >= min(rows)]
+    assert len(most_frequent(df, "n", 5000).collect()) == 2990
+
+
 def test_threshold_gives_the_best_f1():
     rng = np.random.default_rng(3)
     for _ in range(50):
