@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+ROWS_IN = 1000  # rows of an Arrow batch: texts may be long
+ROWS_HELD = 100  # of which as Python objects
 ROWS_OUT = 4096
 
 # Bytes after mapping: A-Z to a-z, other ASCII that is no letter or digit to a space.
@@ -38,15 +40,19 @@ def map_rows(
     """Stream a partition's rows through `make`, column by column, in Arrow batches.
 
     `make` gets an iterator over row tuples and yields row tuples of `schema`.
-    Nothing but the current batch and what `make` itself keeps is in memory.
+    Nothing but the current batch and what `make` itself keeps is in memory; batches
+    are set to ROWS_IN rows for the session.
     """
     columns = df.columns
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_IN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Read on the worker: an Arrow schema pickles, a session does not.
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(len(columns))))
+                for at in range(0, batch.num_rows, ROWS_HELD):
+                    part = batch.slice(at, ROWS_HELD)
+                    yield from zip(*(part.column(i).to_pylist() for i in range(len(columns))))
 
         held: list[tuple] = []
         for row in make(rows()):

@@ -35,7 +35,7 @@ ORDINARY_WORDS = 4000
 WINDOW_WORDS = 1
 MARGIN = 3  # bytes
 CUT = 0.7  # score at the calibrated threshold
-CACHED = 400_000
+CACHED = 150_000
 TAIL = b"||||================"
 
 
