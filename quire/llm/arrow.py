@@ -36,6 +36,7 @@ def map_rows(
     df: DataFrame,
     make: Callable[[Iterator[tuple]], Iterable[tuple]],
     schema: str,
+    rows_out: int = ROWS_OUT,
 ) -> DataFrame:
     """Stream a partition's rows through `make`, column by column, in Arrow batches.
 
@@ -57,7 +58,7 @@ def map_rows(
         held: list[tuple] = []
         for row in make(rows()):
             held.append(row)
-            if len(held) >= ROWS_OUT:
+            if len(held) >= rows_out:
                 yield to_batch(held, arrow_schema)
                 held = []
         if held:
