@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from quire.llm import langid, lm, toxicity
 from quire.llm.decontaminate import decontaminate
-from quire.llm.linededup import deduplicate_lines
+from quire.llm.fuzzylines import deduplicate_similar_lines
 from quire.llm.packing import pack_documents
 from quire.llm.pii import personal_data
 from quire.llm.simhash import near_duplicates
@@ -74,7 +74,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate_lines(table(spark, sf_dir, "documents")).select(
+    return deduplicate_similar_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "text"
     )
 
