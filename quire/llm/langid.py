@@ -3,7 +3,8 @@
 A word that a language's table has counts with its log frequency there.  A word
 that no table has is scored by its character n-grams of the largest size; at a
 place where no language knows that n-gram the next smaller one is taken, down to
-single characters.  Tables come from a bounded sample of labelled documents.
+single characters.  A run of more than LONGEST letters counts as several words, its
+pieces, to its end.  Tables come from a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ GRAMS = 20_000  # per language and size
 SIZES = (4, 3, 2, 1)
 LANGUAGES = 400
 CACHED = 200_000
-LONGEST = 64  # characters of a word that are scored
+LONGEST = 64  # characters of a word; longer runs of letters are cut into pieces
+PIECE = "\0"  # what a piece starts with
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,11 +43,34 @@ class LanguageModel:
 
 
 def padded(word: str) -> str:
-    return f" {word[:LONGEST]} "
+    """A word between spaces, or what a piece holds."""
+    return word[1:] if word.startswith(PIECE) else f" {word} "
+
+
+def places(word: str, held: str) -> int:
+    """At how many places of padded(word) n-grams start; a piece's last characters are
+    those that the next piece starts with."""
+    return min(len(held), LONGEST) if word.startswith(PIECE) else len(held)
+
+
+def pieces(run: str) -> Iterator[str]:
+    """A run of letters as a word or, if it is longer than LONGEST, as pieces.
+
+    Pieces overlap such that each n-gram of the padded run starts in just one of them.
+    """
+    if len(run) <= LONGEST:
+        yield run
+        return
+    run = f" {run} "
+    for at in range(0, len(run), LONGEST):
+        yield PIECE + run[at : at + LONGEST + SIZES[0] - 1]
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    found = WORD.findall(text.lower()) if text else []
+    if any(len(run) > LONGEST for run in found):
+        return [piece for run in found for piece in pieces(run)]
+    return found
 
 
 def training_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,16 +80,16 @@ def training_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
         for lang, text in rows:
             counts: dict[str, int] = defaultdict(int)
             for word in words_of(text):
-                counts[word[:LONGEST]] += 1
+                counts[word] += 1
             for word, n in counts.items():
                 yield lang, word, n
 
     def cut(rows: Iterator[tuple]) -> Iterable[tuple]:
         for lang, word, n in rows:
-            word = padded(word)
+            held = padded(word)
             for size in SIZES:
-                for i in range(len(word) - size + 1):
-                    yield lang, word[i : i + size], n
+                for i in range(min(places(word, held), len(held) - size + 1)):
+                    yield lang, held[i : i + size], n
 
     words = (
         map_rows(sample.select("lang", "text"), split, "lang string, word string, n long")
@@ -150,7 +175,7 @@ class Scores(dict):
     def __missing__(self, word: str) -> int:
         score = self.model.words.get(word)
         if score is None:
-            score = self.by_grams(padded(word))
+            score = self.by_grams(word)
         if len(self) == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         at = len(self)
@@ -160,16 +185,17 @@ class Scores(dict):
 
     def by_grams(self, word: str) -> np.ndarray:
         """The mean over the word's places of the largest n-gram known there."""
-        grams, total, places = self.model.grams, np.zeros(self.rows.shape[1]), 0
-        for i in range(len(word)):
+        grams, total, known = self.model.grams, np.zeros(self.rows.shape[1]), 0
+        held = padded(word)
+        for i in range(places(word, held)):
             for size in SIZES:
-                if i + size <= len(word):
-                    score = grams.get(word[i : i + size])
+                if i + size <= len(held):
+                    score = grams.get(held[i : i + size])
                     if score is not None:
                         total += score
-                        places += 1
+                        known += 1
                         break
-        return total / places if places else total
+        return total / known if known else total
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self) > CACHED:
@@ -193,7 +219,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             if not text or not shared.value.languages or not any(map(str.isalpha, text)):
                 yield doc_id, UNKNOWN, 0.0
                 continue
-            words = words_of(text) or [text.lower()]
+            words = words_of(text) or list(pieces(text.lower()))
             total = scores.of(words)
             best = int(np.argmax(total))
             yield doc_id, shared.value.languages[best], float(
