@@ -113,7 +113,8 @@ def labelled_sample(
 
     Of each label's rows those are taken whose hashed id is below a threshold that
     lets through `toxic` or `ordinary` documents on average, all if there are fewer.
-    part 0 calibrates, the others make the dictionaries.
+    Equal texts of a label count once.  part 0 calibrates, the others make the
+    dictionaries.
     """
     clean = labels.select(
         F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")
@@ -133,6 +134,8 @@ def labelled_sample(
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .join(F.broadcast(chosen), "doc_id")
+        .groupBy("label", "text")
+        .agg(F.min("doc_id").alias("doc_id"))
         .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(CALIBRATION_PART)))
     )
 
@@ -177,9 +180,12 @@ def learn(
     telling = frequencies.filter(F.col("toxic") >= least).filter(
         F.col("toxic") * max(1, n_ordinary) >= F.col("ordinary") * LIFT * max(1, n_toxic)
     )
-    marked = most_frequent(telling, "toxic", TOXIC_WORDS).orderBy(F.desc("toxic"), "word").collect()
+    marked = (
+        most_frequent(telling, "toxic", TOXIC_WORDS, fill=True)
+        .orderBy(F.desc("toxic"), "word").collect()
+    )
     usual = (
-        most_frequent(frequencies, "ordinary", ORDINARY_WORDS)
+        most_frequent(frequencies, "ordinary", ORDINARY_WORDS, fill=True)
         .orderBy(F.desc("ordinary"), "word").collect()
     )
     # The most frequent words come last, nearest to what is compressed.
