@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from quire.llm import langid, lm, toxicity
+from quire.llm.bestfit import pack_whole_documents
 from quire.llm.decontaminate import decontaminate
 from quire.llm.fuzzylines import deduplicate_similar_lines
+from quire.llm.infill import infill_documents, restored
 from quire.llm.packing import pack_documents
 from quire.llm.pii import personal_data
 from quire.llm.simhash import near_duplicates
@@ -87,10 +89,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill_documents(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_whole_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_pii, op2_language, op3_decontamination, op4_toxicity, op5_packing,
         op6_language_model, op7_simhash, op8_lines, op9_syncmers, op10_warc,
+        op12_infill, op13_best_fit,
     )
     return {fn.__name__: fn for fn in own}
 
@@ -140,4 +156,32 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-SQL = {"op3_decontamination": OP3, "op10_warc": OP10}
+OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''),
+      '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+c AS (
+  SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n,
+    [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN range(4)] AS h FROM d),
+p AS (
+  SELECT doc_id, text, n,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(list_slice(w, 1, least(h[1] % (n + 1), h[2] % (n + 1))), '') AS a,
+    array_to_string(list_slice(w, least(h[1] % (n + 1), h[2] % (n + 1)) + 1,
+      greatest(h[1] % (n + 1), h[2] % (n + 1))), '') AS m,
+    array_to_string(list_slice(w, greatest(h[1] % (n + 1), h[2] % (n + 1)) + 1, n), '') AS s
+  FROM c)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+SQL = {"op3_decontamination": OP3, "op10_warc": OP10, "op12_infill": OP12}
