@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -32,6 +32,11 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(ALNUM).split() if text else []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ROWS_IN rows, for the session: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_IN)
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[Iterator[tuple]], Iterable[tuple]],
@@ -45,7 +50,7 @@ def map_rows(
     are set to ROWS_IN rows for the session.
     """
     columns = df.columns
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_IN)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Read on the worker: an Arrow schema pickles, a session does not.

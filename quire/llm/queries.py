@@ -15,6 +15,7 @@ from quire.llm.packing import pack_documents
 from quire.llm.pii import personal_data
 from quire.llm.simhash import near_duplicates
 from quire.llm.syncmers import compare_edited
+from quire.llm.trie import prefix_trie
 from quire.llm.warc import archive_round_trip
 
 
@@ -89,6 +90,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    return prefix_trie(
+        table(spark, sf_dir, "conversations"),
+        base=conv_id - conv_id % 5,
+        head=F.crc32(conv_id.cast("string")) % 9,
+    )
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill_documents(table(spark, sf_dir, "documents"))
     return made.select(
@@ -106,7 +116,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_pii, op2_language, op3_decontamination, op4_toxicity, op5_packing,
         op6_language_model, op7_simhash, op8_lines, op9_syncmers, op10_warc,
-        op12_infill, op13_best_fit,
+        op11_prefix_trie, op12_infill, op13_best_fit,
     )
     return {fn.__name__: fn for fn in own}
 
@@ -156,6 +166,58 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
+# crc32 bit by bit: eight steps a character, over at most 20 characters.
+OP11 = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS step, CAST(4294967295 AS BIGINT) AS v
+  FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT conv_id, s, step + 1,
+    CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+  FROM (SELECT conv_id, s, step,
+    CASE WHEN step % 8 = 0 THEN xor(v, CAST(ascii(s[step // 8 + 1]) AS BIGINT)) ELSE v END AS x
+    FROM crc WHERE step < 8 * length(s))),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(v, CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM crc WHERE step = 8 * length(s)),
+r AS (
+  SELECT c.conv_id, t.p AS o, 0 AS k, role, text FROM c JOIN t ON t.conv_id = c.base AND t.p <= h
+  UNION ALL
+  SELECT c.conv_id, t.p AS o, 1 AS k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.p > h),
+n AS (
+  SELECT conv_id, row_number() OVER w AS depth, text,
+    sha256(string_agg(sha256(role) || sha256(text), '') OVER w) AS key,
+    count(*) OVER (PARTITION BY conv_id) AS whole
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY k, o)),
+m AS (
+  SELECT conv_id, depth, key, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS up,
+    CAST(strlen(text) AS BIGINT) AS size, depth = whole AS ends FROM n
+  UNION ALL
+  SELECT conv_id, 0, '', NULL, 0, conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+nodes AS (
+  SELECT depth, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * min(size) AS saved, count(*) FILTER (ends) = count(*) AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (ends), '')) AS ends_sha256
+  FROM m GROUP BY depth, key),
+above AS (
+  SELECT a.depth, a.key, b.saved, b.leaf FROM nodes b JOIN m x ON x.conv_id = b.conv_id
+    AND x.depth <= b.depth JOIN nodes a ON a.depth = x.depth AND a.key = x.key),
+sums AS (
+  SELECT depth, key, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves
+  FROM above GROUP BY depth, key),
+kids AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL)
+SELECT nodes.conv_id, depth, parent.conv_id AS parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes JOIN sums USING (depth, key) LEFT JOIN kids USING (depth, key)
+LEFT JOIN (SELECT depth + 1 AS depth, key AS up, conv_id FROM nodes) AS parent USING (depth, up)
+"""
+
 OP12 = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -184,4 +246,8 @@ SELECT doc_id, n, form,
 FROM p
 """
 
-SQL = {"op3_decontamination": OP3, "op10_warc": OP10, "op12_infill": OP12}
+SQL = {
+    "op3_decontamination": OP3, "op10_warc": OP10,
+    "op11_prefix_trie": OP11,
+    "op12_infill": OP12,
+}
