@@ -33,8 +33,7 @@ from quire.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 500_000
-ENCODED_WORDS = 2000
+CACHED_WORDS = 250_000
 
 # How the default tokenizer cleans and cuts a text.
 NORMALIZER = {
@@ -57,12 +56,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def cuts_words(settings: dict) -> bool:
+def cuts_words(tokenizer) -> bool:
     """Whether a tokenizer works word by word in the way that TextTokens relies on."""
-    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    cleans, cuts = (
+        json.loads(part.__getstate__()) if part else {}
+        for part in (tokenizer.normalizer, tokenizer.pre_tokenizer)
+    )
+    split = cuts.get("pretokenizers") or [{}]
     return (
-        settings.get("normalizer") == NORMALIZER
-        and settings["model"].get("end_of_word_suffix") == "</w>"
+        cleans == NORMALIZER
+        and getattr(tokenizer.model, "end_of_word_suffix", None) == "</w>"
         and split[0].get("pattern") == {"Regex": WORD_PATTERN}
         and [s.get("type") for s in split] == ["Split", "ByteLevel"]
     )
@@ -83,8 +86,7 @@ class TextTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as f:
-            self.by_word = cuts_words(json.load(f))
+        self.by_word = cuts_words(self.tokenizer)
         self.letters = byte_letters()
         self.special = b"<|"  # special tokens are looked for in the text as it is
 
@@ -101,16 +103,17 @@ class TextTokens(dict):
         return b"".join([self[word] for word in data.split()])
 
     def __missing__(self, word: bytes) -> bytes:
+        out = self[word] = self.ids_of(word)
+        return out
+
+    def ids_of(self, word: bytes) -> bytes:
         shown = word.decode()
         if word.isascii() and self.special not in word:
             parts = ASCII_PARTS.findall(word.translate(LOWER))
-            out = b"".join([self[p] for p in parts]) if len(parts) > 1 else self.one(parts[0])
-        elif shown.isalpha() and max(shown) < COMPOSED_BELOW and len(shown.lower()) == len(shown):
-            out = self.one(shown.lower().encode())
-        else:
-            out = self.encode(shown)
-        self[word] = out
-        return out
+            return b"".join([self[p] for p in parts]) if len(parts) > 1 else self.one(parts[0])
+        if shown.isalpha() and max(shown) < COMPOSED_BELOW and len(shown.lower()) == len(shown):
+            return self.one(shown.lower().encode())
+        return self.encode(shown)
 
     def one(self, part: bytes) -> bytes:
         shown = part.decode("latin-1").translate(self.letters)
