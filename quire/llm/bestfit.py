@@ -33,7 +33,7 @@ from quire.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 250_000
+CACHED_WORDS = 300_000
 
 # How the default tokenizer cleans and cuts a text.
 NORMALIZER = {
@@ -107,17 +107,24 @@ class TextTokens(dict):
         return out
 
     def ids_of(self, word: bytes) -> bytes:
-        shown = word.decode()
+        if word.isalpha():  # ASCII letters only
+            return self.one(word.translate(LOWER).decode())
         if word.isascii() and self.special not in word:
             parts = ASCII_PARTS.findall(word.translate(LOWER))
-            return b"".join([self[p] for p in parts]) if len(parts) > 1 else self.one(parts[0])
+            if len(parts) > 1:
+                return b"".join([self[p] for p in parts])
+            return self.one(self.in_letters(parts[0]))
+        shown = word.decode()
         if shown.isalpha() and max(shown) < COMPOSED_BELOW and len(shown.lower()) == len(shown):
-            return self.one(shown.lower().encode())
+            return self.one(self.in_letters(shown.lower().encode()))
         return self.encode(shown)
 
-    def one(self, part: bytes) -> bytes:
-        shown = part.decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def in_letters(self, part: bytes) -> str:
+        return part.decode("latin-1").translate(self.letters)
+
+    def one(self, part: str) -> bytes:
+        """The ids of one part of a word, in the model's letters."""
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
