@@ -164,5 +164,23 @@ def raw_tokens(text: Column) -> Column:
     return F.split(F.lower(text), "[^a-z0-9]+")
 
 
+def token_runs(text: Column) -> Column:
+    """array<string>: each distinct token once per occurrence, "a a a", in sorted order.
+
+    Counting tokens is then a matter of lengths, see run_term() and run_count(), and
+    takes no aggregation.
+    """
+    joined = F.array_join(F.sort_array(raw_tokens(text)), " ")
+    return F.regexp_extract_all(joined, F.lit(r"([^ ]+)(?: \1(?![^ ]))*+"), F.lit(0))
+
+
+def run_term(run: Column) -> Column:
+    return F.substring_index(run, " ", 1)
+
+
+def run_count(run: Column) -> Column:
+    return ((F.length(run) + 1) / (F.length(run_term(run)) + 1)).cast("bigint")
+
+
 def is_term(token: Column) -> Column:
     return (F.length(token) > 1) & ~token.isin(*STOP_WORDS)

@@ -86,15 +86,22 @@ def cap_entries(
 
 
 def save_entries(
-    existing: DataFrame, new: DataFrame, limit: int | None = None, owner: str | None = None
+    existing: DataFrame,
+    new: DataFrame,
+    limit: int | None = None,
+    owner: str | None = None,
+    by_seq: bool = False,
 ) -> DataFrame:
     """Upsert by id: existing and new carry ``seq``; new ones are written later.
 
+    With ``by_seq`` the higher ``seq`` stays whichever came first, so that writes may
+    arrive in any order; equal ones are replaced.
+
     The last write stays even if its date is the oldest, as when it is put in
     front before the list is cut.
     """
     writes = existing.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-    merged = latest_per_id(writes, "_new", "seq")
+    merged = latest_per_id(writes, *(("seq", "_new") if by_seq else ("_new", "seq")))
     if limit is None:
         return merged.drop("_new")
     by = [owner] if owner else []

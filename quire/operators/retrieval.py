@@ -1,25 +1,29 @@
 """Per-document TF-IDF index and cosine top-k search.
 
 One shuffle moves each document's text to the partition of its key; chunking,
-term counts, document frequencies and norms then all group within that
-partitioning, so they add sorts but no exchange.  Of a question's hits only the best
-k are gathered.
+document frequencies and norms then all work within that partitioning, so they add
+sorts but no exchange, and the questions come to it in one exchange.  A stored index is
+bucketed by document, so that a search moves the questions only.  Of a question's hits
+only the best k are gathered.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.split import is_term, raw_tokens, retrieval_chunks
+from quire.functions.split import is_term, retrieval_chunks, run_count, run_term, token_runs
 from quire.functions.text import is_blank, trim_ws
-from quire.operators.skew import HOT_ROWS, SALT, copy_per_salt, hot_keys, salt_rows
-from quire.session import materialize, shuffle_width
+from quire.operators.skew import HOT_ROWS, SALT, copy_per_salt, hot_list, salt_rows
+from quire.session import shared_dir, shuffle_width
 
 TOP_K = 4
 DOC = ("doc_id",)
+LISTED = 10_000
 
 
 @dataclass(frozen=True)
@@ -50,13 +54,10 @@ def explode_chunks(chunked: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame
 
 
 def count_terms(df: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, term, occurrences)."""
-    return (
-        df.select(*keys, F.explode_outer(raw_tokens(F.col(text))).alias("term"))
-        .where(is_term(F.col("term")))
-        .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
-    )
+    """(keys, term, occurrences) of each row."""
+    runs = df.select(*keys, F.explode_outer(token_runs(F.col(text))).alias("run"))
+    terms = runs.select(*keys, run_term(F.col("run")).alias("term"), run_count(F.col("run")).alias("occurrences"))
+    return terms.where(is_term(F.col("term")))
 
 
 def weigh_terms(terms: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
@@ -84,19 +85,70 @@ def build_index(documents: DataFrame, keys: tuple[str, ...] = DOC) -> Index:
     return Index(chunked, weigh_terms(terms, keys))
 
 
-def stored_index(documents: DataFrame) -> Index:
-    """Build once in the shared folder, search many times."""
-    index = build_index(documents)
-    return Index(materialize(index.chunks, "chunks"), materialize(index.postings, "postings"))
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index in two tables that are bucketed and sorted by document.
+
+    chunks(doc_id, chunks) and terms(doc_id, term, idf, hits): a row per term, with
+    its chunks as hits(part, chunk_index), strongest first.  A part is the chunk's
+    weight of the term divided by the chunk's norm.
+    """
+
+    chunks: DataFrame
+    terms: DataFrame
 
 
-def write_index(index: Index, path: str) -> None:
-    index.chunks.write.mode("errorifexists").parquet(f"{path}/chunks")
-    index.postings.write.mode("errorifexists").parquet(f"{path}/postings")
+def _table_name(kind: str, path: str) -> str:
+    return f"quire_{kind}_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
 
 
-def read_index(spark, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+def write_index(index: Index, path: str, buckets: int | None = None) -> None:
+    """Write an index below a path of the shared folder, as tables of `buckets` files.
+
+    The number defaults to the width of the text shuffle, whose partitions then are the
+    buckets, so that nothing is moved again.
+    """
+    part = F.col("weight") / F.nullif(F.col("norm"), F.lit(0.0))
+    hits = F.sort_array(F.collect_list(F.struct(part.alias("part"), "chunk_index")), asc=False)
+    terms = index.postings.groupBy("doc_id", "term").agg(
+        F.first("idf").alias("idf"), hits.alias("hits")
+    )
+    n = buckets or shuffle_width(index.chunks.sparkSession)
+    for kind, table, order in (("chunks", index.chunks, ()), ("terms", terms, ("term",))):
+        if buckets:
+            table = table.repartition(buckets, "doc_id")
+        (
+            table.write.mode("errorifexists").format("parquet")
+            .bucketBy(n, "doc_id").sortBy("doc_id", *order)
+            .option("path", f"{path}/{kind}").saveAsTable(_table_name(kind, path))
+        )
+    index.chunks.sparkSession.range(1).select(F.lit(n).alias("buckets")).write.json(f"{path}/layout")
+
+
+def read_index(spark: SparkSession, path: str) -> StoredIndex:
+    """An index that write_index has written, by this session or by another one."""
+    n = spark.read.json(f"{path}/layout").first()["buckets"]
+    tables = []
+    for kind, order in (("chunks", "doc_id"), ("terms", "doc_id, term")):
+        name, place = _table_name(kind, path), f"{path}/{kind}"
+        if not spark.catalog.tableExists(name):
+            columns = ", ".join(
+                f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema
+            )
+            spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet "
+                f"CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {n} BUCKETS LOCATION '{place}'"
+            )
+        tables.append(spark.table(name))
+    return StoredIndex(*tables)
+
+
+def stored_index(documents: DataFrame, path: str | None = None) -> StoredIndex:
+    """Build once in the shared folder, search many times."""
+    spark = documents.sparkSession
+    path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    write_index(build_index(documents), path)
+    return read_index(spark, path)
 
 
 def pick_chunks(
@@ -104,17 +156,24 @@ def pick_chunks(
 ) -> DataFrame:
     """Index the documents and rank chunks for questions(question_id, doc_id, question).
 
-    One row per question with its picks in rank order.  A document that many
-    questions ask about is copied once per salt before it is indexed, and its
-    questions are spread over the copies.
+    One row per question with its picks in rank order.  A question_id comes once per
+    document.  A document that many questions ask about is copied once per salt before
+    it is indexed, and its questions are spread over the copies.
     """
-    hot = hot_keys(questions, "doc_id", hot_rows)
     # Documents that nobody asks about drop out before their text moves.
     asked = questions.where(~is_blank(F.col("question"))).select("doc_id").distinct()
     wanted = documents.select("doc_id", "text").join(asked, "doc_id", "left_semi")
-    copies = copy_per_salt(wanted, hot, "doc_id")
-    index = build_index(copies, ("doc_id", SALT))
-    return _pick(index, salt_rows(questions, hot, "doc_id", "question_id"), k)
+    hot = hot_list(questions, "doc_id", hot_rows)
+    if not hot:
+        return _pick(build_index(wanted), questions, k, DOC)
+    keys = (*DOC, SALT)
+    index = build_index(copy_per_salt(wanted, _table_of(wanted, hot), "doc_id"), keys)
+    return _pick(index, salt_rows(questions, _table_of(questions, hot), "doc_id", "question_id"), k, keys)
+
+
+def _table_of(like: DataFrame, hot: list[tuple]) -> DataFrame:
+    kind = like.schema["doc_id"].dataType.simpleString()
+    return like.sparkSession.createDataFrame(hot, f"doc_id {kind}, _salts int")
 
 
 def search_documents(
@@ -125,13 +184,38 @@ def search_documents(
 
 
 def search_index(
-    index: Index, questions: DataFrame, k: int = TOP_K, hot_rows: int = HOT_ROWS
+    index: StoredIndex,
+    questions: DataFrame,
+    k: int = TOP_K,
+    hot_rows: int = HOT_ROWS,
+    listed: int = LISTED,
 ) -> DataFrame:
-    """search_documents over an index that was built (and written) before."""
-    hot = hot_keys(questions, "doc_id", hot_rows)
-    copies = Index(*(copy_per_salt(t, hot, "doc_id") for t in (index.chunks, index.postings)))
-    salted = salt_rows(questions, hot, "doc_id", "question_id")
-    return _one_row_per_pick(_pick(copies, salted, k))
+    """search_documents over an index that was built and written before.
+
+    Up to `listed` different documents are asked for by name, so that only their
+    buckets, and in these only row groups that may hold them, are read; questions about
+    more documents than that are in nearly all buckets anyway.  Neither table is moved,
+    but for documents that very many questions ask about: these are copied and spread.
+    """
+    ids = [r[0] for r in questions.select("doc_id").distinct().limit(listed + 1).collect()]
+    named = [i for i in ids if i is not None]
+    if len(ids) <= listed:
+        index = StoredIndex(*(t.where(F.col("doc_id").isin(named)) for t in (index.chunks, index.terms)))
+    hot = hot_list(questions, "doc_id", hot_rows)
+    if not hot:
+        return _one_row_per_pick(_pick(index, questions, k, DOC))
+    is_hot = F.coalesce(F.col("doc_id").isin([doc for doc, _ in hot]), F.lit(False))
+    cold = _pick(index, questions.where(~is_hot), k, DOC)
+    keys = (*DOC, SALT)
+    copies = StoredIndex(
+        *(
+            copy_per_salt(t.where(is_hot), _table_of(t, hot), "doc_id")
+            .repartition(shuffle_width(t.sparkSession), *keys)
+            for t in (index.chunks, index.terms)
+        )
+    )
+    salted = salt_rows(questions.where(is_hot), _table_of(questions, hot), "doc_id", "question_id")
+    return _one_row_per_pick(cold.unionByName(_pick(copies, salted, k, keys)))
 
 
 def _one_row_per_pick(picked: DataFrame) -> DataFrame:
@@ -143,62 +227,99 @@ def _one_row_per_pick(picked: DataFrame) -> DataFrame:
     )
 
 
-def _pick(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    """One row per question: doc_id, question_id, question, n_chunks, picks."""
-    ask = ("question_id", "doc_id", SALT)
+def _asked_terms(questions: DataFrame, ask: tuple[str, ...]) -> DataFrame:
+    """(ask, question, term, asked): a row per distinct token of each question.
+
+    A first row with no term holds the question; tokens that are no terms have none.
+    """
     q = questions.where(~is_blank(F.col("question"))).select(
         *ask, trim_ws(F.col("question")).alias("question")
     )
-    asked = count_terms(q, "question", ask).withColumnRenamed("occurrences", "asked")
+    runs = F.concat(F.array(F.lit("")), token_runs(F.col("question")))
+    rows = q.select(*ask, "question", F.posexplode_outer(runs).alias("_at", "run"))
+    term = run_term(F.col("run"))
+    return rows.select(
+        *ask,
+        F.when(F.col("_at") == 0, F.col("question")).alias("question"),
+        F.when(is_term(term), term).alias("term"),
+        (F.log(run_count(F.col("run")).cast("double")) + 1).alias("asked"),
+    )
+
+
+def _scores(postings: DataFrame, asked: DataFrame, keys: tuple[str, ...], ask: tuple[str, ...]) -> DataFrame:
+    """(ask, question, chunk_index, score) from postings by chunk; one row of each
+    question has no chunk."""
     # Size estimates do not see that exploding text multiplies rows: never let
     # them turn the index into a broadcast.
-    hits = asked.join(index.postings.hint("merge"), ["doc_id", SALT, "term"]).withColumn(
-        "asked_weight", (F.log(F.col("asked").cast("double")) + 1) * F.col("idf")
-    )
-    # The bare question rides along, so a question without a hit is kept and
-    # no join back to the questions is needed.
-    rows = hits.select(
-        *ask,
-        F.lit(None).cast("string").alias("question"),
-        "chunk_index",
-        "norm",
-        (F.col("asked_weight") * F.col("weight")).alias("dot"),
+    weight = F.col("asked") * F.col("idf")
+    hits = asked.join(postings.hint("merge"), [*keys, "term"], "left").select(
+        *ask, "question", "chunk_index", "norm",
+        (weight * F.col("weight")).alias("dot"),
         # Once per asked term, whatever number of chunks holds it.
-        F.when(F.col("leads_term"), F.col("asked_weight") * F.col("asked_weight"))
-        .otherwise(0.0)
-        .alias("square"),
-    ).unionByName(q.select(*ask, "question"), allowMissingColumns=True)
-    per_chunk = (
-        rows.repartition(*ask)
-        .groupBy(*ask, "chunk_index")
-        .agg(
-            F.max("question").alias("question"),
-            F.sum("dot").alias("dot"),
-            F.first("norm").alias("norm"),
-            F.sum("square").alias("square"),
-        )
+        F.when(F.col("leads_term"), weight * weight).otherwise(0.0).alias("square"),
     )
-    # Rounding makes the order independent of the order of summation.
-    of_question = Window.partitionBy(*ask)
+    per_chunk = hits.groupBy(*ask, "chunk_index").agg(
+        F.max("question").alias("question"),
+        F.sum("dot").alias("dot"),
+        F.first("norm").alias("norm"),
+        F.sum("square").alias("square"),
+    )
+    size = F.sqrt(F.sum("square").over(Window.partitionBy(*ask)))
     part = F.col("dot") / F.nullif("norm", F.lit(0.0))
-    scored = per_chunk.withColumns(
+    return per_chunk.select(*ask, "question", "chunk_index", (part / size).alias("score"))
+
+
+def _bounded_scores(
+    terms: DataFrame, asked: DataFrame, keys: tuple[str, ...], ask: tuple[str, ...], k: int
+) -> DataFrame:
+    """The same from lists of hits by term, without hits that cannot reach rank k.
+
+    A term's k strongest hits are k chunks that score at least the weakest of these,
+    so the best of these floors holds for rank k.  A chunk scores no more than its part
+    of one term and the strongest parts of all others: a hit for which that is below
+    the floor is left out before the lists are taken apart.
+    """
+    joined = asked.join(terms.hint("merge"), [*keys, "term"], "left").withColumn(
+        "weight", F.col("asked") * F.col("idf")
+    )
+    of_question = Window.partitionBy(*ask)
+    most = F.get("hits", F.lit(0))["part"]
+    least = F.get("hits", F.lit(k - 1))["part"]
+    bounded = joined.withColumns(
         {
-            "question": F.max("question").over(of_question),
-            "_size": F.sqrt(F.sum("square").over(of_question)),
+            "size": F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(of_question)),
+            "reach": F.sum(F.col("weight") * most).over(of_question),
+            "floor": F.max(F.col("weight") * least).over(of_question),
         }
-    ).withColumn(
-        "key", F.when(F.col("chunk_index").isNotNull(), -F.round(part / F.col("_size"), 12))
     )
-    # The bare question comes last, so k + 1 rows hold it or k hits.
-    rank = F.row_number().over(
-        of_question.orderBy(F.col("chunk_index").isNull(), "key", "chunk_index")
+    others = F.col("reach") - F.col("weight") * most
+    # A margin for sums in another order.
+    enough = F.coalesce(F.col("floor") * (1 - 1e-9), F.lit(0.0))
+    kept = F.filter(
+        "hits", lambda h: h["part"].isNull() | (F.col("weight") * h["part"] + others >= enough)
+    )
+    hits = bounded.select(*ask, "question", "size", "weight", F.explode_outer(kept).alias("hit"))
+    return hits.groupBy(*ask, F.col("hit.chunk_index").alias("chunk_index")).agg(
+        F.max("question").alias("question"),
+        (F.sum(F.col("weight") * F.col("hit.part")) / F.max("size")).alias("score"),
     )
+
+
+def _pick(index: Index | StoredIndex, questions: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    """One row per question: doc_id, question_id, question, n_chunks, picks."""
+    ask = (*keys, "question_id")
+    asked = _asked_terms(questions, ask)
+    if isinstance(index, StoredIndex):
+        scores = _bounded_scores(index.terms, asked, keys, ask, k)
+    else:
+        scores = _scores(index.postings, asked, keys, ask)
+    # Rounding makes the order independent of the order of summation.
+    scored = scores.withColumn("key", -F.round("score", 12))
+    # The row that holds the question comes first, so k + 1 rows hold it and k hits.
+    is_hit = F.col("chunk_index").isNotNull()
+    rank = F.row_number().over(Window.partitionBy(*ask).orderBy(is_hit, "key", "chunk_index"))
     found = F.slice(
-        F.sort_array(
-            F.collect_list(F.when(F.col("chunk_index").isNotNull(), F.struct("key", "chunk_index")))
-        ),
-        1,
-        k,
+        F.sort_array(F.collect_list(F.when(is_hit, F.struct("key", "chunk_index")))), 1, k
     )
     top = (
         scored.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
@@ -207,7 +328,7 @@ def _pick(index: Index, questions: DataFrame, k: int) -> DataFrame:
     )
     # No filter on the chunk array here: it would move below the shuffle and
     # cut every text a second time.
-    joined = top.join(index.chunks.hint("merge"), ["doc_id", SALT])
+    joined = top.join(index.chunks.hint("merge"), [*keys])
     # Chunks without a shared term have similarity 0 and fill up in index order.
     spare = F.filter(
         F.transform("chunks", lambda _, i: i),

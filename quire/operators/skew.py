@@ -27,6 +27,11 @@ def hot_keys(
     )
 
 
+def hot_list(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[tuple]:
+    """hot_keys on the driver, so that plans without any need no salt at all."""
+    return [tuple(r) for r in hot_keys(df, key, hot_rows).collect()]
+
+
 def salt_rows(df: DataFrame, hot: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Give each row of the big side one of its key's salts."""
     return (

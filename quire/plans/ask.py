@@ -17,6 +17,7 @@ from quire.operators.completions import (
 )
 from quire.operators.retrieval import TOP_K, pick_chunks
 from quire.operators.skew import HOT_ROWS
+from quire.plans.attempts import ATTEMPTS, Complete, in_rounds
 from quire.plans.outcome import (
     INTERNAL,
     INVALID,
@@ -82,16 +83,31 @@ def rejected_questions(documents: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def suggested_questions(responses: DataFrame, count: int = QUESTION_COUNT) -> DataFrame:
-    """First attempt that yields a usable question, with outcome columns."""
+def read_questions(responses: DataFrame, count: int = QUESTION_COUNT) -> DataFrame:
+    """Each response's usable questions, or the error that rules it out."""
     parsed = parse_payloads(read_completions(responses.withColumn("json_mode", F.lit(True))))
-    attempts = parsed.withColumn("questions", clean_questions(F.col("payload"), count)).withColumn(
+    return parsed.withColumn("questions", clean_questions(F.col("payload"), count)).withColumn(
         "completion_error",
         F.when(F.col("completion_error").isNotNull(), F.col("completion_error")).when(
             F.size("questions") == 0, NO_QUESTIONS
         ),
-    )
-    best = first_good_attempt(attempts.drop("payload", "content"), "questions")
+    ).drop("payload", "content")
+
+
+def suggested_questions(responses: DataFrame, count: int = QUESTION_COUNT) -> DataFrame:
+    """First attempt that yields a usable question, with outcome columns."""
+    return question_outcomes(first_good_attempt(read_questions(responses, count), "questions"))
+
+
+def questions_in_rounds(
+    requests: DataFrame, complete: Complete, count: int = QUESTION_COUNT, attempts: int = ATTEMPTS
+) -> tuple[DataFrame, DataFrame]:
+    """The same for requests that are asked again while they fail, and the rounds' log."""
+    rounds = in_rounds(requests, complete, lambda r: read_questions(r, count), "questions", attempts)
+    return question_outcomes(rounds.results), rounds.log
+
+
+def question_outcomes(best: DataFrame) -> DataFrame:
     outcome = Outcome().fail(
         F.col("completion_error").isNotNull(), UPSTREAM, FAILED, MESSAGE_QUESTIONS_FAILED
     )

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.files import file_type_label
+from quire.plans.attempts import ATTEMPTS, Complete
 from quire.plans.extract import extract_documents
-from quire.plans.summarize import chunk_requests, document_chunks
+from quire.plans.runs import Runs, Stage
+from quire.plans.summarize import chunk_requests, document_chunks, summarize_documents
 from quire.session import materialize
 
 
@@ -30,6 +32,38 @@ def summarize_at_lengths(extracted: DataFrame, lengths: DataFrame) -> DataFrame:
     return chunk_requests(chunks.withColumn("length", F.explode("_lengths")))
 
 
+def panel_run(
+    runs: Runs,
+    uploads: DataFrame,
+    pages: DataFrame,
+    ocr_pages: DataFrame,
+    ocr_images: DataFrame,
+    length: str,
+    complete: Complete,
+    created_at: str | None = None,
+    attempts: int = ATTEMPTS,
+) -> Stage:
+    """The whole flow in kept stages: extract, summarise at a length, history entries.
+
+    What is there from an earlier run with the same inputs is not run again: after a
+    break-off the flow goes on with the first stage that had not finished, and another
+    length starts at the summaries.
+    """
+    sources = [runs.source(t) for t in (uploads, pages, ocr_pages, ocr_images)]
+    extracted = runs.stage("extract", extract_documents, *sources)
+
+    def summarize(rows: DataFrame, length: str, attempts: int) -> DataFrame:
+        texts = rows.where("success").select("doc_id", "text")
+        return summarize_documents(texts.withColumn("length", F.lit(length)), complete, attempts)
+
+    summarized = runs.stage("summarize", summarize, extracted, length=length, attempts=attempts)
+
+    def entries(extracted: DataFrame, summarized: DataFrame, created_at: str | None) -> DataFrame:
+        return history_entries(extracted, summarized.where("success"), created_at)
+
+    return runs.stage("entries", entries, extracted, summarized, created_at=created_at)
+
+
 def history_entries(
     extracted: DataFrame, summarized: DataFrame, created_at: str | None = None
 ) -> DataFrame:

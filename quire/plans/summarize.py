@@ -28,6 +28,7 @@ from quire.operators.completions import (
     parse_payloads,
     read_completions,
 )
+from quire.plans.attempts import ATTEMPTS, Complete, in_rounds
 from quire.plans.outcome import (
     INTERNAL,
     MESSAGE_BAD_SHAPE,
@@ -42,6 +43,7 @@ from quire.plans.outcome import (
     UPSTREAM,
     Outcome,
 )
+from quire.session import materialize
 
 FAILED = "SUMMARIZATION_FAILED"
 _COMPLETION_MESSAGES = {
@@ -182,7 +184,18 @@ def read_summaries(responses: DataFrame) -> DataFrame:
 
 def summaries(responses: DataFrame) -> DataFrame:
     """First good attempt per request, with outcome columns."""
-    best = first_good_attempt(read_summaries(responses), "summary")
+    return summary_outcomes(first_good_attempt(read_summaries(responses), "summary"))
+
+
+def summaries_in_rounds(
+    requests: DataFrame, complete: Complete, attempts: int = ATTEMPTS
+) -> tuple[DataFrame, DataFrame]:
+    """The same for requests that are asked again while they fail, and the rounds' log."""
+    rounds = in_rounds(requests, complete, read_summaries, "summary", attempts)
+    return summary_outcomes(rounds.results), rounds.log
+
+
+def summary_outcomes(best: DataFrame) -> DataFrame:
     error = F.col("completion_error")
     outcome = (
         Outcome()
@@ -191,3 +204,32 @@ def summaries(responses: DataFrame) -> DataFrame:
         .fail(error.isNotNull(), INTERNAL, FAILED, MESSAGE_SUMMARY_FAILED)
     )
     return best.withColumns(outcome.columns())
+
+
+def summarize_documents(
+    documents: DataFrame, complete: Complete, attempts: int = ATTEMPTS
+) -> DataFrame:
+    """documents(doc_id, text, length) -> doc_id, length, summary, outcome columns.
+
+    Short documents take one request; of long ones each section is asked for once, and
+    their notes are merged.  A document whose section failed has that outcome.
+    """
+    first = materialize(map_requests(documents), "requests")
+    facts = ["request_id", "doc_id", "length", "chunk_index"]
+    answered = read_completions(complete(first.where("not json_mode").withColumn("attempt", F.lit(1))))
+    sections = materialize(
+        first.where("not json_mode").select(*facts)
+        .join(answered.select("request_id", "content", "completion_error", "status", F.lit(True).alias("_came")), "request_id", "left")
+        .withColumn("completion_error", F.when(F.col("_came").isNull(), UNREACHABLE).otherwise(F.col("completion_error")))
+        .drop("_came"),
+        "sections",
+    )
+    keep = ["request_id", "doc_id", "length", "prompt", "json_mode"]
+    whole = first.where("json_mode").select(keep).unionByName(final_requests(sections).select(keep))
+    done, _ = summaries_in_rounds(whole, complete, attempts)
+    columns = ["doc_id", "length", "summary", "success", "status", "error_code", "error_message"]
+    told = whole.select("request_id", "doc_id", "length").join(done, "request_id").select(columns)
+    failed = failed_sections(sections)
+    lengths = sections.select("doc_id", "length").distinct()
+    nothing = failed.join(lengths, "doc_id").withColumn("summary", F.lit(None).cast(done.schema["summary"].dataType))
+    return told.unionByName(nothing.select(columns))

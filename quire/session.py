@@ -17,6 +17,10 @@ SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # JSON objects with a repeated key keep the last one.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Keyed state of streams with timers; need not fit in memory.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Link payloads must not be broken into 76-character lines.
     "spark.sql.chunkBase64String.enabled": "false",
 }

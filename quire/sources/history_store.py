@@ -4,6 +4,10 @@ Each change writes a fresh folder and then renames it to the next version, which
 fails if another writer has published that version; the change is then applied to
 what that writer left.  So a job that dies half way changes nothing, no path is
 overwritten while it is read, and no committed version is lost.
+
+A version also holds the last batch of each stream that it contains.  A batch comes
+with its stream's name and its number and is applied only if its number is higher, so
+one that a restarted stream delivers again changes nothing, whatever happened since.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators.history import delete_entries, newest_first, read_entries, save_entries
@@ -26,6 +31,7 @@ ENTRY_SCHEMA = (
 )
 
 
+STREAM_SCHEMA = "stream string, batch bigint"
 ATTEMPTS = 20
 
 
@@ -66,18 +72,50 @@ class HistoryStore:
             return False
         return True
 
-    def _commit(self, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Apply ``change`` to the current entries; start over if a version came between."""
+    def applied_batches(self) -> dict[str, int]:
+        """The last batch of each stream in the current version."""
+        found = self.versions()
+        if not found:
+            return {}
+        folder = f"{self.path}/v={found[-1]:08d}/_streams"
+        try:
+            rows = self.spark.read.schema(STREAM_SCHEMA).parquet(folder).collect()
+        except AnalysisException:  # written without any
+            return {}
+        return {r["stream"]: r["batch"] for r in rows}
+
+    def _commit(
+        self, change: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None
+    ) -> bool:
+        """Apply ``change`` to the current entries; start over if a version came between.
+
+        False if the current version contains the batch already.
+        """
         for _ in range(ATTEMPTS):
             version = (self.versions() or [0])[-1] + 1
+            batches = self.applied_batches()
+            if batch and batches.get(batch[0], -1) >= batch[1]:
+                return False
             folder = f"{self.path}/_new-{uuid.uuid4().hex}"
             change(self.entries()).write.parquet(folder)
+            batches |= dict([batch] if batch else [])
+            if batches:
+                rows = self.spark.createDataFrame(sorted(batches.items()), STREAM_SCHEMA)
+                rows.coalesce(1).write.parquet(f"{folder}/_streams")
             if self._publish(folder, version):
-                return
+                return True
         raise RuntimeError(f"{ATTEMPTS} other writers came first")
 
-    def save(self, new: DataFrame, limit: int | None = None, owner: str | None = None) -> None:
-        self._commit(lambda now: save_entries(now, new, limit, owner))
+    def save(
+        self,
+        new: DataFrame,
+        limit: int | None = None,
+        owner: str | None = None,
+        by_seq: bool = False,
+        batch: tuple[str, int] | None = None,
+    ) -> bool:
+        """Upsert entries; with ``batch`` (stream, number) at most once."""
+        return self._commit(lambda now: save_entries(now, new, limit, owner, by_seq), batch)
 
     def delete(self, ids: DataFrame) -> None:
         self._commit(lambda now: delete_entries(now, ids))

@@ -562,3 +562,42 @@ SQL["history_store"] = SQL["history_delete"].replace(
 )
 SQL["streamed_pages"] = SQL["ocr_work_list"]
 SQL["written_exports"] = SQL["export_text"]
+SQL["streamed_documents"] = SQL["combined_documents"]
+SQL["streamed_history"] = f"""SELECT id, created_at, file_name, length, seq FROM ({WRITES})
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""
+
+_ROUNDS = f"""{_ATTEMPTS},
+told AS (SELECT s.* REPLACE (CASE WHEN lost THEN 'UNREACHABLE' ELSE completion_error END AS completion_error),
+    CASE WHEN lost OR completion_error IS NOT NULL THEN NULL ELSE s.attempt END AS good
+  FROM (SELECT *, attempt = 1 AND CAST(request_id AS BIGINT) % 13 = 0 AS lost FROM shown) s),
+asked AS (SELECT * FROM told t WHERE attempt = 1
+  OR EXISTS (SELECT 1 FROM told f WHERE f.request_id = t.request_id AND f.attempt = 1 AND f.good IS NULL))"""
+SQL["attempt_rounds"] = f"""WITH {_ROUNDS} SELECT attempt, count(*) AS asked, count(completion_error) AS failed FROM asked GROUP BY attempt"""
+SQL["second_attempts"] = f"""WITH {_ROUNDS},
+last AS (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) = 1)
+SELECT request_id, good AS attempt, completion_error, good IS NOT NULL AS success,
+  CASE WHEN good IS NOT NULL THEN 200 WHEN completion_error = 'NO_SUMMARY' THEN 502 ELSE 500 END AS status,
+  CASE WHEN good IS NULL THEN 'SUMMARIZATION_FAILED' END AS error_code,
+  CASE WHEN good IS NULL THEN CASE WHEN completion_error = 'NO_SUMMARY' THEN {lit(o.MESSAGE_NO_SUMMARY)} ELSE {lit(o.MESSAGE_SUMMARY_FAILED)} END END AS error_message,
+  CASE WHEN good IS NOT NULL THEN title END AS title, CASE WHEN good IS NOT NULL THEN document_type END AS document_type,
+  CASE WHEN good IS NOT NULL THEN summary END AS summary, CASE WHEN good IS NOT NULL THEN key_points END AS key_points,
+  CASE WHEN good IS NOT NULL THEN main_ideas END AS main_ideas, CASE WHEN good IS NOT NULL THEN entities END AS entities,
+  CASE WHEN good IS NOT NULL THEN action_items END AS action_items FROM last"""
+
+_FLOW_TEXTS = "SELECT doc_id, text FROM extracted WHERE success"
+SQL["panel_flow"] = f"""WITH RECURSIVE {_EXTRACTED}, {cuts(_FLOW_TEXTS, 30000, 2000, 0)},
+flow_pieces AS (SELECT doc_id, n, {trim('substr(t, s + 1, e - s)')} AS text FROM cut),
+parts AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS part,
+    count(*) OVER (PARTITION BY doc_id) AS parts, text FROM flow_pieces WHERE text <> ''),
+wanted AS (SELECT * FROM parts, unnest(['short', 'long']) AS l(length)),
+noted AS (SELECT doc_id, length, string_agg('--- Section ' || part || ' ---' || chr(10) || md5({_section_prompt('text', 'part', 'parts')}),
+    chr(10) || chr(10) ORDER BY part) AS sections, bool_or(doc_id % 2 = 0) AS refused FROM wanted WHERE parts > 1 GROUP BY doc_id, length),
+made AS (
+  SELECT doc_id, length, doc_id || ':' || length || ':direct:1' AS request, md5({_direct_prompt('text', 'length')}) AS summary FROM wanted WHERE parts = 1
+  UNION ALL
+  SELECT doc_id, length, doc_id || ':' || length || ':final', md5({_final_prompt('sections', 'length')}) FROM noted WHERE NOT refused)
+SELECT sha256(m.doc_id || '|' || m.length || '|' || '{{"title":"On ' || request || '","document_type":"Document","summary":"' || summary
+    || '","key_points":[],"main_ideas":[],"entities":[],"action_items":[]}}') AS id,
+  CASE m.length WHEN 'short' THEN '2024-01-01T00:00:00.000Z' ELSE '2024-01-02T00:00:00.000Z' END AS created_at, file_name,
+  CASE WHEN file_name LIKE '%.pdf' THEN 'PDF' WHEN file_name LIKE '%.PNG' THEN 'PNG' ELSE 'JPG' END AS source_type_label,
+  m.length, word_count AS source_word_count, 'On ' || request AS title, summary FROM made m JOIN extracted e ON e.doc_id = m.doc_id"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import export, files, normalize, prompts
@@ -16,10 +16,11 @@ from quire.functions.split import document_sample
 from quire.functions.text import count_words, unit_length
 from quire.operators import completions, conversation, history, pages, retrieval
 from quire.plans import ask, extract, panel, requests, summarize
+from quire.plans.runs import Runs
 from quire.session import configure, shared_dir
 from quire.sources.history_store import SUMMARY_SCHEMA, HistoryStore
 from quire.sources.tables import export_table, write_exports
-from quire.streaming import ingest
+from quire.streaming import documents, ingest
 from quire.workload.views import Views, meta_columns, summary_columns
 
 MODEL = "any-chat-model"
@@ -346,6 +347,36 @@ def answers(v: Views) -> DataFrame:
     )
 
 
+def _asked_summaries(v: Views) -> DataFrame:
+    return v.documents().select(F.col("doc_id").cast("string").alias("request_id"), F.col("text").alias("prompt"))
+
+
+def _model(v: Views):
+    """What comes back for the requests asked: of every thirteenth nothing, the first time."""
+
+    def complete(asked: DataFrame) -> DataFrame:
+        lost = (F.col("attempt") == 1) & (F.col("request_id").cast("bigint") % 13 == 0)
+        told = v.completions().where(~lost)
+        return told.join(asked.select("request_id", "attempt"), ["request_id", "attempt"], "left_semi")
+
+    return complete
+
+
+@query
+def second_attempts(v: Views) -> DataFrame:
+    """Every document's summary, asked for again where the first answer was no good."""
+    done, _ = summarize.summaries_in_rounds(_asked_summaries(v), _model(v))
+    return _flat_summary(
+        done, "request_id", "attempt", "completion_error", "success", "status", "error_code", "error_message"
+    )
+
+
+@query
+def attempt_rounds(v: Views) -> DataFrame:
+    """How many requests each round asked, and how many of them failed."""
+    return summarize.summaries_in_rounds(_asked_summaries(v), _model(v))[1]
+
+
 # --- uploads ----------------------------------------------------------------
 
 
@@ -500,6 +531,36 @@ def saved_history(v: Views) -> DataFrame:
     )
 
 
+@query
+def panel_flow(v: Views) -> DataFrame:
+    """From uploads to the history in stages that are kept, twice: the second time for
+    another length, which runs the summaries only."""
+
+    def complete(asked: DataFrame) -> DataFrame:
+        # A digest of the prompt stands for the summary; half the first answers are refused.
+        digest = F.md5("prompt")
+        payload = F.to_json(F.struct(F.concat(F.lit("On "), "request_id").alias("title"), digest.alias("summary")))
+        content = F.when(F.col("json_mode"), payload).otherwise(digest)
+        refused = (F.col("attempt") == 1) & (F.col("doc_id") % 2 == 0)
+        return asked.select(
+            "request_id", "attempt", "json_mode", F.when(refused, 429).otherwise(200).alias("status"),
+            F.to_json(F.struct(F.array(F.struct(
+                F.lit("stop").alias("finish_reason"), F.struct(content.alias("content")).alias("message")
+            )).alias("choices"))).alias("body"),
+        )
+
+    runs, store = Runs(v.spark, _folder(v, "runs")), HistoryStore(v.spark, _folder(v, "history"))
+    tables = v.uploads(), v.pages(), v.ocr_pages(), v.documents()
+    for n, length in enumerate(("short", "long")):
+        entries = panel.panel_run(runs, *tables, length, complete, f"2024-01-0{n + 1}T00:00:00.000Z")
+        store.save(entries.rows.withColumn("seq", F.lit(n).cast("bigint")))
+    assert runs.ran == ["extract", "summarize", "entries", "summarize", "entries"]
+    return store.load().select(
+        "id", "created_at", "file_name", "source_type_label", "length", "source_word_count",
+        F.col("summary.title").alias("title"), F.col("summary.summary").alias("summary"),
+    )
+
+
 @query
 def resummarize_lengths(v: Views) -> DataFrame:
     """One extraction, requests for every length."""
@@ -557,6 +618,47 @@ def streamed_pages(v: Views) -> DataFrame:
     return v.spark.read.parquet(sink).where("is_suspicious").select("doc_id", "page_number")
 
 
+@query
+def streamed_documents(v: Views) -> DataFrame:
+    """Odd pages, then OCR readings, then even pages arrive; the watermark ends the wait
+    for readings that never come."""
+    source, sink, checkpoint = (_folder(v, n) for n in ("arrivals", "documents", "stream"))
+    pages = v.pages().withColumn("n_pages", F.count("*").over(Window.partitionBy("doc_id")).cast("int"))
+    readings = v.ocr_pages().withColumn("n_pages", F.lit(None).cast("int"))
+    tick = v.spark.sql("SELECT -1L AS doc_id, 0 AS page_number, '' AS text, 0 AS n_pages")
+    parts = [
+        (pages.where("page_number % 2 = 1"), documents.PAGE, 0), (readings, documents.READING, 1),
+        (pages.where("page_number % 2 = 0"), documents.PAGE, 2), (tick, "tick", 24 * 60),
+    ]
+    for rows, kind, minute in parts:
+        arrived = F.timestamp_seconds(F.lit(1_700_000_000 + 60 * minute))
+        rows.select(
+            F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(kind).alias("kind"),
+            F.col("page_number").cast("int").alias("page_number"), "text", "n_pages",
+            arrived.alias("arrived"),
+        ).write.mode("append").parquet(source)
+    arrivals = documents.stream_arrivals(v.spark, source, 4)
+    ingest.append_to(documents.document_stream(arrivals), sink, checkpoint).awaitTermination()
+    return v.spark.read.parquet(sink).drop("pages", "complete")
+
+
+@query
+def streamed_history(v: Views) -> DataFrame:
+    """Events arrive as four files, latest first; each is a batch of saves."""
+    source, checkpoint = _folder(v, "writes"), _folder(v, "stream")
+    no_summary = F.from_json(F.lit(None).cast("string"), SUMMARY_SCHEMA).alias("summary")
+    writes = v.history_writes().select(
+        "id", "created_at", "file_name", F.lit("PDF").alias("source_type_label"), "length",
+        F.lit(0).cast("bigint").alias("source_word_count"), no_summary, "seq",
+    )
+    for quarter in (3, 2, 1, 0):
+        writes.where(F.col("seq") % 4 == quarter).coalesce(1).write.mode("append").parquet(source)
+    store = HistoryStore(v.spark, _folder(v, "history"))
+    stream = v.spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.upsert_history(stream, store.path, checkpoint).awaitTermination()
+    return store.load().select("id", "created_at", "file_name", "length", "seq")
+
+
 @query
 def written_exports(v: Views) -> DataFrame:
     """The text exports of a table that was written by format and read back."""

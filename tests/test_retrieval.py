@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from quire.functions.split import token_runs
+from quire.operators import retrieval
 from quire.operators.retrieval import build_index, read_index, search_documents, search_index, write_index
 from quire.operators.skew import SALT, copy_per_salt, hot_keys, salt_rows
 
@@ -85,13 +87,90 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def steps_to_join(plan, place):
+    """The plan's steps from the scan of a place up to the join that reads it."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and place in line)
+    steps, depth = [], len(lines[at])
+    for line in reversed(lines[: at + 1]):
+        indent = next(i for i, sign in enumerate(line) if sign.isalpha())
+        if indent < depth:
+            steps.append(line)
+            depth = indent
+        if "SortMergeJoin" in steps[-1]:
+            return steps
+    raise AssertionError("no join")
+
+
+def exchanges(plan):
+    return plan.count("Exchange hashpartitioning")
+
+
 def test_index_takes_one_shuffle(spark, corpus):
     docs, _ = frames(spark, corpus)
     assert plan_of(build_index(docs).postings).count("Exchange ") == 1
 
 
-def test_postings_are_not_shuffled_again_for_the_join(spark, corpus):
-    plan = plan_of(search_documents(*frames(spark, corpus)))
-    window = plan.index("Window [sum")
-    join_side = plan[plan.rindex("Sort [doc_id", 0, plan.rindex("Project", 0, window)) : window]
-    assert "term#" in join_side and "Exchange" not in join_side
+def test_questions_move_once_and_postings_with_their_text_only(spark, corpus):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(search_documents(*frames(spark, corpus)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Twice the text and the list of what is asked about: for postings and for the
+    # texts of picks, of which the second is reused; and the questions.
+    assert exchanges(plan) <= 5
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("term" in line or "chunk" in line for line in moved)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, corpus, tmp_path_factory):
+    docs, _ = frames(spark, corpus)
+    path = str(tmp_path_factory.mktemp("stored") / "index")
+    write_index(build_index(docs), path, 16)
+    return path
+
+
+def test_stored_search_reads_asked_buckets_and_moves_no_index(spark, corpus, stored):
+    _, questions = frames(spark, corpus)
+    found_one = search_index(read_index(spark, stored), questions.where("doc_id = 5"))
+    plan = plan_of(found_one)
+    assert plan.count("SelectedBucketsCount: 1 out of 16") == 2
+    assert plan.count("EqualTo(doc_id,5)]") == 2
+    for table in ("terms", "chunks"):
+        assert not any("Exchange" in step for step in steps_to_join(plan, f"/{table}]"))
+    listed = {k: v for k, v in expected(*corpus).items() if v[0] == 5}
+    assert found(found_one) == listed
+    whole = search_index(read_index(spark, stored), questions, listed=2)
+    assert "SelectedBucketsCount: 16 out of 16" in plan_of(whole)
+    assert found(whole) == expected(*corpus)
+
+
+def test_stored_index_is_read_by_another_session(spark, corpus, stored):
+    for row in spark.catalog.listTables():
+        if row.name.startswith("quire_"):
+            spark.sql(f"DROP TABLE {row.name}")
+    again = read_index(spark, stored)
+    assert found(search_index(again, frames(spark, corpus)[1])) == expected(*corpus)
+
+
+def test_hits_that_cannot_reach_the_rank_are_left_out(spark, corpus, stored):
+    docs, questions = frames(spark, corpus)
+    asked = retrieval._asked_terms(questions, ("doc_id", "question_id"))
+    terms = read_index(spark, stored).terms
+    keys, ask = ("doc_id",), ("doc_id", "question_id")
+    hits = F.col("chunk_index").isNotNull()
+    every = retrieval._scores(build_index(docs).postings, asked, keys, ask).where(hits)
+    for k in (1, 4):
+        kept = retrieval._bounded_scores(terms, asked, keys, ask, k).where(hits)
+        assert kept.count() < every.count()
+        found_k = search_index(read_index(spark, stored), questions, k=k)
+        assert found(found_k) == {key: v for key, v in expected(*corpus).items() if key[1] <= k}
+
+
+def test_runs_count_tokens(column):
+    texts = ["b a b", "", "  ", "aa a aa a1 A", "x" * 50 + " x", "one", None, "a.a,a;b"]
+    assert column(token_runs, texts) == [
+        ["a", "b b"], [], [], ["a a", "a1", "aa aa"], ["x", "x" * 50], ["one"], None, ["a a a", "b"]
+    ]
