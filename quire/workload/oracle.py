@@ -64,10 +64,10 @@ PAGES = f"""SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_number, substr(text, C
 OCR = "SELECT doc_id, page_number, replace(text, 'e', 'c') AS text FROM pages_cut WHERE page_number <> 7"
 QUESTIONS = "SELECT d.doc_id, d.doc_id AS question_id, b.text AS question FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
 USER_QUESTIONS = "SELECT conv_id * 1000 + turn AS question_id, conv_id AS doc_id, text AS question FROM conversations WHERE role = 'user'"
-UPLOADS = """SELECT page_id AS doc_id,
-  'f' || page_id || (['.pdf', '.PNG', '.jpg', '.jpeg', '.docx', ''])[page_id % 6 + 1] AS file_name,
-  (['application/pdf', 'image/png', 'image/jpeg', '', 'text/html'])[page_id % 5 + 1] AS mime_type,
-  CAST(length(html) * 1000 AS BIGINT) AS size_bytes FROM pages"""
+UPLOADS = """SELECT doc_id, CASE WHEN doc_id % 31 <> 7
+    THEN 'f' || doc_id || (['.pdf', '.PNG', '.jpg', '.jpeg', '.docx', ''])[doc_id % 6 + 1] END AS file_name,
+  (['application/pdf', 'image/png', 'image/jpeg', '', 'text/html'])[doc_id % 5 + 1] AS mime_type,
+  CAST(length(text) * 1000 AS BIGINT) AS size_bytes FROM documents"""
 SUMMARIES = """SELECT doc_id, string_split(text, chr(10))[1] AS title, source AS document_type, text AS summary,
   string_split(text, '. ') AS key_points, list_reverse(string_split(text, '. ')) AS main_ideas,
   [lang, source] AS entities, CASE WHEN lang = 'en' THEN ['read ' || source] ELSE []::VARCHAR[] END AS action_items,
@@ -282,6 +282,7 @@ _COUNTS = f"CAST({words('text')} AS BIGINT) AS word_count, CAST(length(text) AS
 
 # Uploads.
 _VALID = f"""checked AS (SELECT *, CASE
+    WHEN file_name IS NULL THEN 'No file was provided.'
     WHEN size_bytes > 10485760 THEN {lit('File is too large. Please upload a file smaller than 10 MB.')}
     WHEN ext NOT IN ('pdf', 'png', 'jpg', 'jpeg') THEN {lit('Unsupported file type. Please upload a PDF, PNG, JPG, or JPEG file.')}
     WHEN mime_type = '' THEN NULL
@@ -289,7 +290,7 @@ _VALID = f"""checked AS (SELECT *, CASE
     WHEN mime_type <> CASE ext WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END
     THEN {lit('The file extension and file type do not match. Please choose a valid PDF, PNG, JPG, or JPEG file.')} END AS error
   FROM (SELECT *, CASE WHEN contains(file_name, '.') THEN lower(string_split(file_name, '.')[-1]) ELSE '' END AS ext FROM ({UPLOADS}))),
-valid AS (SELECT *, CASE WHEN error LIKE '%too large%' THEN 'FILE_TOO_LARGE' WHEN error IS NOT NULL THEN 'INVALID_FILE' END AS error_code,
+valid AS (SELECT *, CASE WHEN file_name IS NULL THEN 'NO_FILE' WHEN error LIKE '%too large%' THEN 'FILE_TOO_LARGE' WHEN error IS NOT NULL THEN 'INVALID_FILE' END AS error_code,
     CASE WHEN error LIKE '%too large%' THEN 413 WHEN error IS NOT NULL THEN 400 ELSE 200 END AS status,
     CASE WHEN error IS NULL THEN CASE WHEN ext = 'pdf' THEN 'pdf' ELSE 'image' END END AS source_type FROM checked)"""
 _EXTRACTED = f"""{_PAGE_CTE}, {_VALID},
@@ -517,7 +518,7 @@ SELECT CAST(doc_id AS VARCHAR) AS request_id, CASE WHEN lang <> 'es' THEN array_
   CASE WHEN lang IN ('en', 'es') THEN 200 ELSE 500 END AS status, CASE WHEN lang NOT IN ('en', 'es') THEN 'QA_FAILED' END AS error_code,
   CASE WHEN lang NOT IN ('en', 'es') THEN {lit(o.MESSAGE_ANSWER_FAILED)} END AS error_message FROM documents""",
     "upload_validation": f"WITH {_VALID} SELECT doc_id, error, error_code, status, source_type FROM valid",
-    "upload_labels": f"""SELECT doc_id, CASE WHEN contains(file_name, '.') THEN lower(string_split(file_name, '.')[-1]) ELSE '' END AS extension,
+    "upload_labels": f"""SELECT doc_id, CASE WHEN file_name IS NULL THEN NULL WHEN contains(file_name, '.') THEN lower(string_split(file_name, '.')[-1]) ELSE '' END AS extension,
   CASE WHEN file_name LIKE '%.pdf' THEN 'PDF' WHEN file_name LIKE '%.PNG' THEN 'PNG' ELSE 'JPG' END AS label,
   CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN (size_bytes * 20 + 1024) // 2048 // 10 || '.' || (size_bytes * 20 + 1024) // 2048 % 10 || ' KB'
     ELSE (size_bytes * 20 + 1048576) // 2097152 // 10 || '.' || (size_bytes * 20 + 1048576) // 2097152 % 10 || ' MB' END AS size FROM ({UPLOADS})""",
@@ -562,6 +563,12 @@ SQL["history_store"] = SQL["history_delete"].replace(
 )
 SQL["streamed_pages"] = SQL["ocr_work_list"]
 SQL["written_exports"] = SQL["export_text"]
+SQL["sql_retrieval_chunks"] = f"SELECT doc_id, chunk_index, text FROM ({SQL['retrieval_chunks']})"
+SQL["sql_summary_chunks"] = f"SELECT doc_id, chunk_index, start_character, end_character, text_md5 FROM ({SQL['summary_chunks']})"
+SQL["history_order"] = f"""WITH last AS (SELECT * FROM ({WRITES}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
+SELECT id, created_at, seq, CAST(row_number() OVER (ORDER BY created_at DESC, seq DESC, id) - 1 AS BIGINT) AS position FROM last"""
+SQL["history_cleared"] = f"""SELECT id, created_at, file_name, length, seq FROM ({WRITES}) WHERE event_type = 'error'
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""
 SQL["streamed_documents"] = SQL["combined_documents"]
 SQL["streamed_history"] = f"""SELECT id, created_at, file_name, length, seq FROM ({WRITES})
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""

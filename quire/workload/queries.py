@@ -13,6 +13,7 @@ from quire.functions.jsonx import SUMMARY_ARRAYS
 from quire.functions.quality import with_quality
 from quire.functions.share import parse_share_fragment, share_link
 from quire.functions.split import document_sample
+from quire.functions.tables import register_splitters
 from quire.functions.text import count_words, unit_length
 from quire.operators import completions, conversation, history, pages, retrieval
 from quire.plans import ask, extract, panel, requests, summarize
@@ -140,6 +141,28 @@ def retrieval_chunks(v: Views) -> DataFrame:
     return retrieval.explode_chunks(retrieval.chunk_documents(v.paragraph_documents()))
 
 
+def _lateral(v: Views, documents: DataFrame, sql: str) -> DataFrame:
+    register_splitters(v.spark)
+    return v.spark.sql(sql, documents=documents)
+
+
+@query
+def sql_retrieval_chunks(v: Views) -> DataFrame:
+    return _lateral(
+        v, v.paragraph_documents(),
+        "SELECT doc_id, c.chunk_index, c.text FROM {documents} d, LATERAL retrieval_chunks(d.text) c",
+    )
+
+
+@query
+def sql_summary_chunks(v: Views) -> DataFrame:
+    return _lateral(
+        v, v.long_documents(),
+        "SELECT doc_id, c.chunk_index, c.start_character, c.end_character, md5(c.text) AS text_md5 "
+        "FROM {documents} d, LATERAL summary_chunks(d.text) c",
+    )
+
+
 @query
 def question_sample(v: Views) -> DataFrame:
     return v.texts().select("doc_id", document_sample(F.col("text")).alias("sample"))
@@ -606,6 +629,38 @@ def history_store(v: Views) -> DataFrame:
     return store.load().select("id", "created_at", "file_name", "length", "seq")
 
 
+def _entries(writes: DataFrame) -> DataFrame:
+    no_summary = F.from_json(F.lit(None).cast("string"), SUMMARY_SCHEMA).alias("summary")
+    return history.latest_per_id(writes).select(
+        "id", "created_at", "file_name", F.lit("PDF").alias("source_type_label"), "length",
+        F.lit(0).cast("bigint").alias("source_word_count"), no_summary, "seq",
+    )
+
+
+@query
+def history_order(v: Views) -> DataFrame:
+    """The saved list as it is shown, newest first, each entry with its place."""
+    store = HistoryStore(v.spark, _folder(v, "history"))
+    store.save(_entries(v.history_writes()))
+    shown = store.load().select("id", "created_at", "seq")
+    # The list is sorted, so ids that increase along it give the order of its rows.
+    rank = F.row_number().over(Window.orderBy("at"))
+    return shown.withColumn("at", F.monotonically_increasing_id()).select(
+        "id", "created_at", "seq", (rank - 1).cast("bigint").alias("position")
+    )
+
+
+@query
+def history_cleared(v: Views) -> DataFrame:
+    """All entries saved, the list cleared, and some saved after that."""
+    writes = v.history_writes()
+    store = HistoryStore(v.spark, _folder(v, "history"))
+    store.save(_entries(writes))
+    store.clear()
+    store.save(_entries(writes.where("event_type = 'error'")))
+    return store.load().select("id", "created_at", "file_name", "length", "seq")
+
+
 @query
 def streamed_pages(v: Views) -> DataFrame:
     """Pages arrive as files; the stream scores them and appends what it finds."""
@@ -636,7 +691,7 @@ def streamed_documents(v: Views) -> DataFrame:
             F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(kind).alias("kind"),
             F.col("page_number").cast("int").alias("page_number"), "text", "n_pages",
             arrived.alias("arrived"),
-        ).write.mode("append").parquet(source)
+        ).coalesce(4).write.mode("append").parquet(source)
     arrivals = documents.stream_arrivals(v.spark, source, 4)
     ingest.append_to(documents.document_stream(arrivals), sink, checkpoint).awaitTermination()
     return v.spark.read.parquet(sink).drop("pages", "complete")

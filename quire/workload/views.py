@@ -97,17 +97,18 @@ class Views:
         )
 
     def uploads(self) -> DataFrame:
-        """A file per web page: name, type and size vary with the page."""
-        ext = F.element_at(F.array(*map(F.lit, (".pdf", ".PNG", ".jpg", ".jpeg", ".docx", ""))), (F.col("page_id") % 6 + 1).cast("int"))
+        """A file per document: name, type and size vary, and some have no name."""
+        n = F.col("doc_id")
+        ext = F.element_at(F.array(*map(F.lit, (".pdf", ".PNG", ".jpg", ".jpeg", ".docx", ""))), (n % 6 + 1).cast("int"))
         mime = F.element_at(
             F.array(*map(F.lit, ("application/pdf", "image/png", "image/jpeg", "", "text/html"))),
-            (F.col("page_id") % 5 + 1).cast("int"),
+            (n % 5 + 1).cast("int"),
         )
-        return self.table("pages").select(
-            F.col("page_id").alias("doc_id"),
-            F.concat(F.lit("f"), F.col("page_id").cast("string"), ext).alias("file_name"),
+        return self.table("documents").select(
+            "doc_id",
+            F.when(n % 31 != 7, F.concat(F.lit("f"), n.cast("string"), ext)).alias("file_name"),
             mime.alias("mime_type"),
-            (F.length("html") * F.lit(1000)).cast("bigint").alias("size_bytes"),
+            (F.length("text") * F.lit(1000)).cast("bigint").alias("size_bytes"),
         )
 
     def summaries(self) -> DataFrame:
