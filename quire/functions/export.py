@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import sys
+import re
 import unicodedata
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from quire.functions.text import trim_ws, unit_length
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from quire.functions.text import let, trim_ws, unit_length
 
 SLUG_LIMIT = 60
 RULE = 60
@@ -28,14 +23,56 @@ def format_export_date(iso: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(iso), "MMM d, yyyy, hh:mm a"), iso)
 
 
-@F.pandas_udf(StringType())
-def _decompose(title: pd.Series) -> pd.Series:
-    # No built-in decomposes characters; only titles pass through here.
-    return title.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+LAST_LETTERS = 0x20000  # what lies beyond decomposes into ideographs only
+ACCENTS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition without accents leaves of letters and digits.
+
+    Characters that become one ASCII letter or digit, and what they become; accents are
+    at the end of the first, with nothing to become.  Those that become several are a map
+    of their own.  All others separate words, as they do without a table.
+    """
+    one, several = {}, {}
+    for code in range(128, LAST_LETTERS):
+        whole = unicodedata.normalize("NFKD", chr(code))
+        if whole == chr(code):
+            continue
+        left = re.sub("[^a-z0-9]", "-", "".join(c for c in whole if c not in ACCENTS))
+        if len(left) == 1 and left != "-" or not left:
+            one[chr(code)] = left
+        elif left.strip("-"):
+            several[chr(code)] = left
+    kept = {c: t for c, t in one.items() if t}
+    gone = "".join(c for c, t in one.items() if not t) + ACCENTS
+    return "".join(kept) + gone, "".join(kept.values()), several
+
+
+PLAIN_FROM, PLAIN_TO, SPELLED = _decompositions()
+
+
+def without_accents(text: Column) -> Column:
+    """Lower-case letters and digits for what decomposes into them; accents go.
+
+    Characters that do not are left, for slugify to drop.
+    """
+    table = F.map_from_arrays(
+        F.array(*map(F.lit, SPELLED)), F.array(*map(F.lit, SPELLED.values()))
+    )
+    spelled = F.array_join(
+        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+    )
+    rare = F.rlike(text, F.lit("[" + "".join(SPELLED) + "]"))
+    return F.translate(F.when(rare, spelled).otherwise(text), PLAIN_FROM, PLAIN_TO)
 
 
 def slugify(title: Column) -> Column:
-    plain = F.regexp_replace(_decompose(F.lower(title)), r"[̀-ͯ]", "")
+    lower = F.lower(title)
+    # Most titles are ASCII and need no table.
+    plain = let(
+        lower, lambda t: F.when(F.octet_length(t) > F.length(t), without_accents(t)).otherwise(t)
+    )
     dashed = F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
     slug = F.substring(dashed, 1, SLUG_LIMIT)
     return F.when(slug == "", "summary").otherwise(slug)

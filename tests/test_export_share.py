@@ -1,3 +1,5 @@
+import re
+import unicodedata
 import base64
 import json
 
@@ -62,3 +64,20 @@ def test_conversations(spark):
     suggested = spark.createDataFrame([(7, "What?"), (7, "Who?"), (8, "What?")], "doc_id bigint, question string")
     flags = {(r.doc_id, r.question): r.was_asked for r in mark_asked(suggested, questions).collect()}
     assert flags == {(7, "What?"): True, (7, "Who?"): False, (8, "What?"): False}
+
+
+def test_slugs_of_every_character(spark, column):
+    def by_hand(title):
+        whole = unicodedata.normalize("NFKD", title.lower())
+        plain = "".join(c for c in whole if not 0x300 <= ord(c) < 0x370)
+        return re.sub("[^a-z0-9]+", "-", plain).strip("-")[:60] or "summary"
+
+    codes = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000] + list(range(0x1D400, 0x1D800)) + list(range(0x1F100, 0x1F200))
+    titles = [f"x{chr(c)}y" for c in codes] + ["ﬁne ½ CAFÉ №1", "é" * 80, "Ǆ ẛ̣ ﷺ", None]
+    # Java and Python know different versions of lower case for a few new letters.
+    same = [t for t in titles if t is None or not t[1:2].isupper() or ord(t[1]) < 0x2C00]
+    got = column(slugify, same)
+    wrong = [(t, g, by_hand(t)) for t, g in zip(same, got) if t is not None and g != by_hand(t)]
+    assert not wrong, wrong[:10]
+    df = spark.createDataFrame([("é",)], "t string").select(slugify(F.col("t")))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
