@@ -41,6 +41,9 @@ MESSAGE_UNREACHABLE = "Could not reach the AI service."
 MESSAGE_HTTP_ERROR = "The AI service returned an error. Please try again."
 MESSAGE_HTTP_STATUS = "The AI service returned an error (status %s). Please try again."
 
+# Own wording: where a service's own message is not told.
+MESSAGE_NOT_CONFIGURED = "The AI service is not configured."
+
 
 class Outcome:
     """First matching failure wins; no match is a success with status 200."""

@@ -494,13 +494,6 @@ picked AS (SELECT doc_id, question_id, any_value(question) AS question, count(*)
   FROM ranked WHERE rank <= 4 GROUP BY doc_id, question_id)
 SELECT doc_id || ':answer:' || question_id AS request_id, doc_id, question_id, {_answer_prompt('question', 'excerpts')} AS prompt,
   CAST(n AS INTEGER) AS sources_used, 1200 AS max_tokens, false AS json_mode FROM picked""",
-    "request_checks": f"""SELECT doc_id, 'answer' AS kind, CASE WHEN lang IN ('en', 'es') THEN text END AS text,
-  CASE lang WHEN 'en' THEN source WHEN 'es' THEN ' ' END AS detail, lang = 'en' AS success, CASE WHEN lang = 'en' THEN 200 ELSE 400 END AS status,
-  CASE WHEN lang <> 'en' THEN 'INVALID_INPUT' END AS error_code,
-  CASE lang WHEN 'fr' THEN {lit(o.MESSAGE_NOT_JSON)} WHEN 'de' THEN {lit(o.MESSAGE_NO_TEXT)} WHEN 'es' THEN {lit(o.MESSAGE_NO_QUESTION)} END AS error_message FROM documents
-UNION ALL SELECT doc_id, 'summarize', CASE WHEN lang IN ('en', 'es') THEN text END, CASE lang WHEN 'en' THEN 'short' ELSE 'medium' END,
-  lang IN ('en', 'es'), CASE WHEN lang IN ('en', 'es') THEN 200 ELSE 400 END, CASE WHEN lang NOT IN ('en', 'es') THEN 'INVALID_INPUT' END,
-  CASE lang WHEN 'fr' THEN {lit(o.MESSAGE_NOT_JSON)} WHEN 'de' THEN {lit(o.MESSAGE_NO_TEXT_TO_SUMMARIZE)} END FROM documents""",
     "parse_completions": f"WITH {_ATTEMPTS} SELECT * FROM shown",
     "normalized_summaries": f"""WITH {_ATTEMPTS}, best AS (SELECT request_id, min(attempt) FILTER (completion_error IS NULL) AS attempt,
   max(completion_error) FILTER (attempt = 2) AS last_error FROM shown GROUP BY request_id)
@@ -565,6 +558,36 @@ SQL["streamed_pages"] = SQL["ocr_work_list"]
 SQL["written_exports"] = SQL["export_text"]
 SQL["sql_retrieval_chunks"] = f"SELECT doc_id, chunk_index, text FROM ({SQL['retrieval_chunks']})"
 SQL["sql_summary_chunks"] = f"SELECT doc_id, chunk_index, start_character, end_character, text_md5 FROM ({SQL['summary_chunks']})"
+
+
+def _requests(configured: bool) -> str:
+    """Bodies made as text and parsed again here; the first rule that holds decides."""
+    good = "CAST(json_object('text', text, 'question', source, 'length', 'short') AS VARCHAR)"
+    last = "" if configured else "WHEN true THEN [500, 'CONFIG_ERROR', 'The AI service is not configured.']"
+
+    def rules(no_text: str, more: str) -> str:
+        return f"""CASE WHEN j IS NULL THEN ['400', 'INVALID_INPUT', {lit(o.MESSAGE_NOT_JSON)}]
+          WHEN coalesce({trim('text')}, '') = '' THEN ['400', 'INVALID_INPUT', {lit(no_text)}] {more} {last.replace('500', "'500'")} END"""
+
+    def field(name: str) -> str:
+        return f"CASE WHEN json_type(j, '$.{name}') = 'VARCHAR' THEN json_extract_string(j, '$.{name}') END AS {name}"
+
+    blank = f"WHEN coalesce({trim('question')}, '') = '' THEN ['400', 'INVALID_INPUT', {lit(o.MESSAGE_NO_QUESTION)}]"
+    shown = "text, detail, r IS NULL AS success, coalesce(CAST(r[1] AS INTEGER), 200) AS status, r[2] AS error_code, r[3] AS error_message"
+    return f"""WITH bodies AS (SELECT doc_id, CASE lang WHEN 'fr' THEN {good} || ' trailing' WHEN 'de' THEN CAST(json_object('text', doc_id) AS VARCHAR)
+    WHEN 'es' THEN CAST(json_object('text', text, 'question', ' ', 'length', 'gigantic') AS VARCHAR) ELSE {good} END AS body FROM documents),
+read AS (SELECT doc_id, {field('text')}, {field('question')}, {field('length')}, j FROM (SELECT doc_id, TRY_CAST(body AS JSON) AS j FROM bodies)),
+ruled AS (SELECT doc_id, 'answer' AS kind, text, question AS detail, {rules(o.MESSAGE_NO_TEXT, blank)} AS r FROM read
+  UNION ALL SELECT doc_id, 'summarize', text, {_KNOWN.format("coalesce(length, '')")}, {rules(o.MESSAGE_NO_TEXT_TO_SUMMARIZE, '')} FROM read)
+SELECT doc_id, kind, {shown} FROM ruled"""
+
+
+SQL["request_checks"], SQL["unconfigured_requests"] = _requests(True), _requests(False)
+SQL["written_requests"] = f"""SELECT doc_id || ':questions' AS request_id, CAST(0.2 AS DOUBLE) AS temperature, 'false' AS reasoning, 2000 AS max_tokens,
+  md5({_questions_prompt(_SAMPLE)}) AS prompt_md5 FROM documents WHERE {_FIT}"""
+SQL["scanned_responses"] = f"SELECT request_id, answer, success, status FROM ({SQL['answers']})"
+SQL["imported_history"] = """SELECT 'u' || user_id AS id, '2024-01-01T00:00:00.000Z' AS created_at, NULL::VARCHAR AS file_name, 'short' AS length, CAST(0 AS BIGINT) AS seq, count(*) AS entries
+FROM events WHERE event_type = 'view' GROUP BY user_id"""
 SQL["history_order"] = f"""WITH last AS (SELECT * FROM ({WRITES}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT id, created_at, seq, CAST(row_number() OVER (ORDER BY created_at DESC, seq DESC, id) - 1 AS BIGINT) AS position FROM last"""
 SQL["history_cleared"] = f"""SELECT id, created_at, file_name, length, seq FROM ({WRITES}) WHERE event_type = 'error'

@@ -20,7 +20,7 @@ from quire.plans import ask, extract, panel, requests, summarize
 from quire.plans.runs import Runs
 from quire.session import configure, shared_dir
 from quire.sources.history_store import SUMMARY_SCHEMA, HistoryStore
-from quire.sources.tables import export_table, write_exports
+from quire.sources.tables import export_table, scan_responses, write_exports, write_requests
 from quire.streaming import documents, ingest
 from quire.workload.views import Views, meta_columns, summary_columns
 
@@ -318,12 +318,22 @@ def completion_bodies(v: Views) -> DataFrame:
 
 @query
 def request_checks(v: Views) -> DataFrame:
+    return _checked_requests(v, True)
+
+
+@query
+def unconfigured_requests(v: Views) -> DataFrame:
+    """The same by a job that has no key for its model service."""
+    return _checked_requests(v, False)
+
+
+def _checked_requests(v: Views, configured: bool) -> DataFrame:
     bodies = v.request_bodies()
-    asked = requests.answer_requests(bodies).select(
+    asked = requests.answer_requests(bodies, configured).select(
         "doc_id", F.lit("answer").alias("kind"), "text", F.col("question").alias("detail"),
         "success", "status", "error_code", "error_message",
     )
-    summarized = requests.summarize_requests(bodies).select(
+    summarized = requests.summarize_requests(bodies, configured).select(
         "doc_id", F.lit("summarize").alias("kind"), "text", F.col("length").alias("detail"),
         "success", "status", "error_code", "error_message",
     )
@@ -637,6 +647,39 @@ def _entries(writes: DataFrame) -> DataFrame:
     )
 
 
+@query
+def written_requests(v: Views) -> DataFrame:
+    """Request bodies as JSON lines that another job reads."""
+    path = _folder(v, "requests")
+    write_requests(completions.with_request_body(ask.question_requests(v.texts()), MODEL), path)
+    read = v.spark.read.schema("request_id string, body string").json(path)
+    return read.select(
+        "request_id",
+        F.get_json_object("body", "$.temperature").cast("double").alias("temperature"),
+        F.get_json_object("body", "$.reasoning.enabled").alias("reasoning"),
+        F.get_json_object("body", "$.max_tokens").cast("int").alias("max_tokens"),
+        F.md5(F.get_json_object("body", "$.messages[1].content")).alias("prompt_md5"),
+    )
+
+
+@query
+def scanned_responses(v: Views) -> DataFrame:
+    """Responses that another job left as JSON lines, read by their schema."""
+    path = _folder(v, "responses")
+    v.answer_responses().write.json(path)
+    return ask.answers(scan_responses(v.spark, path)).select("request_id", "answer", "success", "status")
+
+
+@query
+def imported_history(v: Views) -> DataFrame:
+    """A list kept as JSON by another store: its valid entries."""
+    store = HistoryStore(v.spark, _folder(v, "history"))
+    store.import_json(v.history_json())
+    return store.load().groupBy("id", "created_at", "file_name", "length", "seq").agg(
+        F.count("*").alias("entries")
+    )
+
+
 @query
 def history_order(v: Views) -> DataFrame:
     """The saved list as it is shown, newest first, each entry with its place."""
