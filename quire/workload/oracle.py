@@ -377,22 +377,45 @@ noted AS (SELECT doc_id, length, chunk_index, md5(text) AS content, length = 'an
 notes AS (SELECT doc_id, length, count(*) AS n_sections, bool_or(broken) AS broken,
   string_agg('--- Section ' || (chunk_index + 1) || ' ---' || chr(10) || content, chr(10) || chr(10) ORDER BY chunk_index) AS sections FROM noted GROUP BY doc_id, length)"""
 
-# Completions: the expected result follows from how the view was made.
-_ATTEMPTS = """made AS (SELECT doc_id, lang, source, text, attempt, CASE WHEN attempt = 2 AND lang = 'en' THEN 0 ELSE doc_id % 8 END AS kind
-  FROM documents, unnest([1, 2]) AS a(attempt)),
-read AS (SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(attempt AS INTEGER) AS attempt,
-    CASE kind WHEN 7 THEN 'HTTP_ERROR' WHEN 4 THEN 'TRUNCATED' WHEN 5 THEN 'NO_SUMMARY' END AS completion_error,
-    kind IN (0, 1, 2, 3, 6) AS ok,
-    CASE WHEN kind = 6 THEN 'Untitled document' ELSE 'A title' END AS title,
-    CASE WHEN kind = 6 THEN 'Document' ELSE source END AS document_type,
-    {summary} AS summary,
-    CASE WHEN kind = 6 THEN 'k' ELSE lang || '|' || source END AS key_points,
-    CASE WHEN kind = 6 THEN '' ELSE lang END AS main_ideas FROM made),
-shown AS (SELECT request_id, attempt, completion_error, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN document_type END AS document_type,
-    CASE WHEN ok THEN summary END AS summary, CASE WHEN ok THEN key_points END AS key_points, CASE WHEN ok THEN main_ideas END AS main_ideas,
-    CASE WHEN ok THEN '' END AS entities, CASE WHEN ok THEN '' END AS action_items FROM read)""".replace(
-    "{summary}", trim("text")
+# Completions: bodies are made as text, and everything that is said of them is read from it.
+def _text_or(key: str, default: str) -> str:
+    value = trim(f"json_extract_string(j, '$.{key}')")
+    return f"CASE WHEN json_type(j, '$.{key}') = 'VARCHAR' AND {value} <> '' THEN {value} ELSE '{default}' END"
+
+
+def _texts_at(key: str) -> str:
+    items = f"list_filter(CAST(json_extract(j, '$.{key}') AS JSON[]), lambda x: json_type(x) = 'VARCHAR' AND {trim("(x ->> '$')")} <> '')"
+    return f"CASE WHEN json_type(j, '$.{key}') = 'ARRAY' THEN coalesce(array_to_string(list_transform({items}, lambda x: x ->> '$'), '|'), '') ELSE '' END"
+
+
+_FENCE = "chr(96) || chr(96) || chr(96)"
+_PLAIN = (
+    "json_object('title', '  A title ', 'documentType', source, 'summary', text, 'keyPoints', [lang, ' ', source], 'mainIdeas', [lang])::VARCHAR"
 )
+_ATTEMPTS = f"""made AS (SELECT doc_id, attempt, CASE WHEN attempt = 2 AND lang = 'en' THEN 0 ELSE doc_id % 8 END AS kind, {_PLAIN} AS plain,
+    json_object('summary', text)::VARCHAR AS short FROM documents, unnest([1, 2]) AS a(attempt)),
+told AS (SELECT CAST(doc_id AS VARCHAR) AS request_id, CAST(attempt AS INTEGER) AS attempt, CASE WHEN kind = 7 THEN 500 ELSE 200 END AS status,
+    kind = 4 AS cut_off, CASE kind WHEN 0 THEN plain WHEN 1 THEN {_FENCE} || 'json' || chr(10) || plain || chr(10) || {_FENCE}
+    WHEN 2 THEN '<think>{{"a": 1}} hm</think>' || chr(10) || plain WHEN 3 THEN 'Here {{you}} are: {{"bad": }} then ' || plain || ' Enjoy!'
+    WHEN 4 THEN plain[:-2] WHEN 5 THEN '{{"title": "no summary here"}}'
+    WHEN 6 THEN short[:-2] || ',"title":5,"keyPoints":["k",1,null,{{"x":1}},true],"entities":"none"}}' END AS content FROM made),
+bare AS (SELECT * EXCLUDE (content), {trim(f"regexp_replace(regexp_replace({trim("regexp_replace(coalesce(content, ''), '(?is)<think>.*?</think>', '', 'g')")}, '(?i)^`{{3}}(?:json)?', ''), '`{{3}}$', '')")} AS t FROM told),
+tried AS (SELECT *, TRY_CAST(t AS JSON) AS j FROM bare),
+-- The first opening brace from which a closing one makes it JSON.
+opened AS (SELECT request_id, attempt, t, string_split(t, '{{') AS a, string_split(t, '}}') AS z FROM tried WHERE j IS NULL AND status = 200 AND NOT cut_off),
+braces AS (SELECT request_id, attempt, t, list_transform(range(1, len(a)), lambda i: length(array_to_string(a[1:i], '{{')) + 1) AS starts,
+    list_transform(range(1, len(z)), lambda i: length(array_to_string(z[1:i], '}}')) + 1) AS ends FROM opened),
+started AS (SELECT request_id, attempt, t, ends, unnest(starts) AS s FROM braces),
+spans AS (SELECT request_id, attempt, s, TRY_CAST(t[s:e] AS JSON) AS j FROM (SELECT request_id, attempt, t, s, unnest(ends) AS e FROM started) WHERE e > s),
+inner_json AS (SELECT request_id, attempt, arg_min(j, s) AS j FROM spans WHERE j IS NOT NULL GROUP BY ALL),
+read AS (SELECT o.request_id, o.attempt, o.status, o.cut_off, o.t, coalesce(o.j, i.j) AS j FROM tried o LEFT JOIN inner_json i USING (request_id, attempt)),
+judged AS (SELECT *, CASE WHEN status <> 200 THEN 'HTTP_ERROR' WHEN cut_off THEN 'TRUNCATED' WHEN t = '' THEN 'EMPTY_COMPLETION'
+    WHEN j IS NULL THEN 'UNPARSEABLE' WHEN json_type(j) NOT IN ('OBJECT', 'ARRAY') THEN 'BAD_SHAPE'
+    WHEN coalesce(json_type(j, '$.summary'), '') <> 'VARCHAR' OR {trim("json_extract_string(j, '$.summary')")} = '' THEN 'NO_SUMMARY' END AS completion_error FROM read),
+shown AS (SELECT request_id, attempt, completion_error, CASE WHEN ok THEN {_text_or('title', 'Untitled document')} END AS title,
+    CASE WHEN ok THEN {_text_or('documentType', 'Document')} END AS document_type, CASE WHEN ok THEN {trim("json_extract_string(j, '$.summary')")} END AS summary,
+    {", ".join(f"CASE WHEN ok THEN {_texts_at(k)} END AS {n}" for k, n in (('keyPoints', 'key_points'), ('mainIdeas', 'main_ideas'), ('entities', 'entities'), ('actionItems', 'action_items')))}
+  FROM (SELECT *, completion_error IS NULL AS ok FROM judged))"""
 
 
 # Exports.
@@ -597,11 +620,11 @@ SQL["streamed_history"] = f"""SELECT id, created_at, file_name, length, seq FROM
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""
 
 _ROUNDS = f"""{_ATTEMPTS},
-told AS (SELECT s.* REPLACE (CASE WHEN lost THEN 'UNREACHABLE' ELSE completion_error END AS completion_error),
+came AS (SELECT s.* REPLACE (CASE WHEN lost THEN 'UNREACHABLE' ELSE completion_error END AS completion_error),
     CASE WHEN lost OR completion_error IS NOT NULL THEN NULL ELSE s.attempt END AS good
   FROM (SELECT *, attempt = 1 AND CAST(request_id AS BIGINT) % 13 = 0 AS lost FROM shown) s),
-asked AS (SELECT * FROM told t WHERE attempt = 1
-  OR EXISTS (SELECT 1 FROM told f WHERE f.request_id = t.request_id AND f.attempt = 1 AND f.good IS NULL))"""
+asked AS (SELECT * FROM came t WHERE attempt = 1
+  OR EXISTS (SELECT 1 FROM came f WHERE f.request_id = t.request_id AND f.attempt = 1 AND f.good IS NULL))"""
 SQL["attempt_rounds"] = f"""WITH {_ROUNDS} SELECT attempt, count(*) AS asked, count(completion_error) AS failed FROM asked GROUP BY attempt"""
 SQL["second_attempts"] = f"""WITH {_ROUNDS},
 last AS (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) = 1)
