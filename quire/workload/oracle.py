@@ -546,8 +546,6 @@ SELECT * EXCLUDE (event_type) FROM latest WHERE id NOT IN (SELECT id FROM w WHER
     "history_stats": f"""WITH latest AS (SELECT * FROM ({WRITES}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT count(*) AS total, count(DISTINCT coalesce(file_name, id)) AS documents, max(created_at) AS last_activity,
   strftime(CAST(max(created_at)[:19] AS TIMESTAMP), '%b %-d, %Y, %I:%M %p') AS last_label FROM latest""",
-    "history_valid_entries": """SELECT event_id, 0 AS position, 'u' || user_id AS id, '2024-01-01T00:00:00.000Z' AS created_at, NULL::VARCHAR AS file_name, 'PDF' AS source_type_label,
-  'Short' AS length_label, format('{:,}', user_id) || ' words' AS words_label, event_type AS summary, event_type AS key_points FROM events WHERE event_type = 'view'""",
     "export_text": EXPORT_TEXT,
     "export_markdown": EXPORT_MARKDOWN,
     "clipboard_text": CLIPBOARD,
@@ -609,8 +607,27 @@ SQL["request_checks"], SQL["unconfigured_requests"] = _requests(True), _requests
 SQL["written_requests"] = f"""SELECT doc_id || ':questions' AS request_id, CAST(0.2 AS DOUBLE) AS temperature, 'false' AS reasoning, 2000 AS max_tokens,
   md5({_questions_prompt(_SAMPLE)}) AS prompt_md5 FROM documents WHERE {_FIT}"""
 SQL["scanned_responses"] = f"SELECT request_id, answer, success, status FROM ({SQL['answers']})"
-SQL["imported_history"] = """SELECT 'u' || user_id AS id, '2024-01-01T00:00:00.000Z' AS created_at, NULL::VARCHAR AS file_name, 'short' AS length, CAST(0 AS BIGINT) AS seq, count(*) AS entries
-FROM events WHERE event_type = 'view' GROUP BY user_id"""
+_STORED = """stored AS (SELECT event_id, '[{"id":"' || CASE event_type WHEN 'signup' THEN '' ELSE 'u' || user_id END || '","createdAt":'
+    || CASE event_type WHEN 'error' THEN '7' ELSE '"2024-01-01T00:00:00.000Z"' END || CASE event_type WHEN 'click' THEN '' ELSE ',"fileName":null' END
+    || ',"sourceTypeLabel":"PDF","length":"' || CASE event_type WHEN 'purchase' THEN 'huge' ELSE 'short' END || '","sourceWordCount":' || user_id || ',"summary":'
+    || json_object('title', 't', 'documentType', 'd', 'summary', event_type, 'keyPoints', [event_type], 'mainIdeas', [props],
+      'entities', []::VARCHAR[], 'actionItems', []::VARCHAR[])::VARCHAR || '},3,null]' AS value FROM events),
+items AS (SELECT event_id, i - 1 AS position, list[i] AS x FROM (SELECT event_id, CAST(CAST(value AS JSON) AS JSON[]) AS list FROM stored),
+  unnest(range(1, len(list) + 1)) AS u(i)),
+entries AS (SELECT event_id, CAST(position AS INTEGER) AS position, x ->> '$.id' AS id, x ->> '$.createdAt' AS created_at, x ->> '$.fileName' AS file_name,
+    x ->> '$.sourceTypeLabel' AS source_type_label, x ->> '$.length' AS length, CAST(x ->> '$.sourceWordCount' AS BIGINT) AS words,
+    x ->> '$.summary.summary' AS summary, array_to_string(CAST(json_extract(x, '$.summary.keyPoints') AS VARCHAR[]), '|') AS key_points
+  FROM items WHERE json_type(x, '$.id') = 'VARCHAR' AND x ->> '$.id' <> '' AND json_type(x, '$.createdAt') = 'VARCHAR'
+    AND json_type(x, '$.fileName') IN ('VARCHAR', 'NULL') AND json_type(x, '$.sourceTypeLabel') IN ('VARCHAR', 'NULL')
+    AND json_type(x, '$.length') = 'VARCHAR' AND x ->> '$.length' IN ('short', 'medium', 'long')
+    AND json_type(x, '$.sourceWordCount') IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'NULL')
+    AND json_type(x, '$.summary.title') = 'VARCHAR' AND json_type(x, '$.summary.documentType') = 'VARCHAR' AND json_type(x, '$.summary.summary') = 'VARCHAR'
+    AND json_type(x, '$.summary.keyPoints') = 'ARRAY' AND json_type(x, '$.summary.mainIdeas') = 'ARRAY'
+    AND json_type(x, '$.summary.entities') = 'ARRAY' AND json_type(x, '$.summary.actionItems') = 'ARRAY')"""
+SQL["history_valid_entries"] = f"""WITH {_STORED} SELECT event_id, position, id, created_at, file_name, source_type_label,
+  upper(length[1]) || length[2:] AS length_label, format('{{:,}}', words) || ' words' AS words_label, summary, key_points FROM entries"""
+SQL["imported_history"] = f"""WITH {_STORED} SELECT id, created_at, file_name, length, CAST(-position AS BIGINT) AS seq, count(*) AS entries
+FROM entries GROUP BY ALL"""
 SQL["history_order"] = f"""WITH last AS (SELECT * FROM ({WRITES}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT id, created_at, seq, CAST(row_number() OVER (ORDER BY created_at DESC, seq DESC, id) - 1 AS BIGINT) AS position FROM last"""
 SQL["history_cleared"] = f"""SELECT id, created_at, file_name, length, seq FROM ({WRITES}) WHERE event_type = 'error'
