@@ -16,24 +16,18 @@ Null text counts as empty: one end token.  Repeated rows are packed once each.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from quire.llm.arrow import LOWER, map_rows
+from quire.llm.arrow import map_rows
+from quire.llm.bestfit import TextTokens
 
 CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 2048
-CACHED_WORDS = 500_000
-LINE_WORDS = 2000
-SIMPLE_BELOW = "\u0250"  # letters below it are composed already
-AFTER_LETTER = re.compile(rb"([a-z])([.,;:!?])(?=[ \t\r\n]|$)")
 SEQUENCES_PER_TASK = 1 << 33
 
 
@@ -43,64 +37,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokens(dict):
-    """White-space separated words to their ids as little-endian 32-bit integers.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    its words' ids in order.  It also lower-cases, and takes runs of letters apart
-    from the marks that follow, so both is done before words are looked up.  Words
-    that are letters only are one piece each; those that are missing are encoded
-    together in long lines, whose ids are cut where a piece ends.  Other words are
-    encoded one by one.  The cache is emptied when it holds CACHED_WORDS words.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        self.encode = tokenizer.encode_batch_fast
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def ids(self, text: str | None) -> bytes:
-        data = text.encode("utf-8", "replace") if text else b""
-        if b"<|" not in data:  # special tokens are looked for in the text as it is
-            data = AFTER_LETTER.sub(rb"\1 \2", data.translate(LOWER))
-        words = data.split()
-        missing = {w for w in words if w not in self}
-        if missing:
-            if len(self) + len(missing) > CACHED_WORDS:
-                self.clear()
-                missing = set(words)
-            self.add(missing)
-        return b"".join(map(self.__getitem__, words))
-
-    def add(self, missing: set[bytes]) -> None:
-        plain, other = [], []
-        for word in missing:
-            shown = word.decode()
-            single = shown.isalpha() and max(shown) < SIMPLE_BELOW
-            (plain if single and len(shown.lower()) == len(shown) else other).append(word)
-        # In slices, so that a huge text does not hold all its encodings at once.
-        for at in range(0, len(plain), LINE_WORDS):
-            part = plain[at : at + LINE_WORDS]
-            line = b" ".join(part).decode()
-            ids = np.array(self.encode([line], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                other += part
-                continue
-            data, at_id = ids.tobytes(), 0
-            for word, stop in zip(part, stops.tolist()):
-                self[word] = data[4 * at_id : 4 * stop]
-                at_id = stop
-        for at in range(0, len(other), LINE_WORDS):
-            part = other[at : at + LINE_WORDS]
-            found = self.encode([w.decode() for w in part], add_special_tokens=False)
-            for word, encoding in zip(part, found):
-                self[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+class WordTokens(TextTokens):
+    """Texts to their ids, the ids of each word kept from text to text."""
 
 
 TOKENS: dict[str, WordTokens] = {}
