@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -47,6 +48,14 @@ NORMALIZER = {
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 COMPOSED_BELOW = "ɐ"  # letters below it are composed already
+LATIN = [chr(c) for c in range(128, ord(COMPOSED_BELOW))]
+LETTERS, NUMBERS = (
+    "".join(c for c in LATIN if unicodedata.category(c)[0] == kind) for kind in "LN"
+)
+LATIN_SPACES = "\x85\xa0"
+LATIN_PARTS = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9{NUMBERS}]|[^a-z{LETTERS}0-9{NUMBERS}]+"
+)
 
 
 def byte_letters() -> dict[int, str]:
@@ -76,8 +85,10 @@ class TextTokens(dict):
 
     A tokenizer that lower-cases, drops white space and cuts the rest into letters,
     digits and marks gives a text the ids of its words in order, so each word's ids
-    are kept, up to CACHED_WORDS words.  An ASCII word is cut into its parts here and
-    only the parts go to the model.  Of any other tokenizer whole texts are encoded.
+    are kept, up to CACHED_WORDS words: those of the time before and those since, so
+    that frequent words stay when the rest goes.  A word of Latin letters is cut into its
+    parts here and only the parts go to the model.  Of any other tokenizer whole texts are
+    encoded.
     """
 
     def __init__(self, path: str):
@@ -88,6 +99,7 @@ class TextTokens(dict):
         self.model = self.tokenizer.model
         self.by_word = cuts_words(self.tokenizer)
         self.letters = byte_letters()
+        self.before: dict[bytes, bytes] = {}
         self.special = b"<|"  # special tokens are looked for in the text as it is
 
     def ids(self, text: str | None) -> bytes:
@@ -98,12 +110,19 @@ class TextTokens(dict):
         data = text.encode("utf-8", "replace")
         if self.special not in data:
             data = data.translate(LOWER)
-        if len(self) > CACHED_WORDS:
+        if len(self) > CACHED_WORDS // 2:
+            self.before = dict(self)
             self.clear()
         return b"".join([self[word] for word in data.split()])
 
     def __missing__(self, word: bytes) -> bytes:
-        out = self[word] = self.ids_of(word)
+        out = self.before.get(word)
+        if out is None:
+            kept = len(self)
+            out = self.ids_of(word)
+            if len(self) > kept:  # its parts are new themselves: one place is enough
+                return out
+        self[word] = out
         return out
 
     def ids_of(self, word: bytes) -> bytes:
@@ -115,9 +134,17 @@ class TextTokens(dict):
                 return b"".join([self[p] for p in parts])
             return self.one(self.in_letters(parts[0]))
         shown = word.decode()
-        if shown.isalpha() and max(shown) < COMPOSED_BELOW and len(shown.lower()) == len(shown):
-            return self.one(self.in_letters(shown.lower().encode()))
-        return self.encode(shown)
+        lower = shown.lower()
+        if max(shown) >= COMPOSED_BELOW or len(lower) != len(shown):
+            return self.encode(shown)
+        if shown.isalpha():
+            return self.one(self.in_letters(lower.encode()))
+        if "<|" in shown or any(c in shown for c in LATIN_SPACES):
+            return self.encode(shown)
+        parts = LATIN_PARTS.findall(lower)
+        if len(parts) > 1:
+            return b"".join([self[p.encode()] for p in parts])
+        return self.one(self.in_letters(lower.encode()))
 
     def in_letters(self, part: bytes) -> str:
         return part.decode("latin-1").translate(self.letters)
